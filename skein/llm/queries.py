@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import groups, history, leakage, mixing, names, pairs, survivor
+from skein.llm import groups, history, leakage, mixing, names, pairs, subjects, survivor
 from skein.session import table
 
 
@@ -48,6 +48,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target")).shares
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_label"))
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(table(spark, d, "documents"), table(spark, d, "subject_label"))
+
+
 _NORMAL = r"nullif(lower(trim(regexp_replace({}, '[\s\p{{Z}}]+', ' ', 'g'))), '')"
 _GROUPS = f"""
 WITH RECURSIVE held0 AS (
@@ -65,7 +73,7 @@ grp AS (SELECT node AS entity_id, min(seen) AS group_id FROM reach GROUP BY node
 _KEY = """CASE WHEN is_stub IS FALSE THEN 0 ELSE 1 END, CASE WHEN confidence IS NULL OR confidence = 0 THEN 0.5 WHEN confidence > 1 THEN round(confidence / 100, 2) ELSE confidence END DESC,
   CASE WHEN source_count IS NULL OR source_count = 0 THEN 1 ELSE source_count END DESC, last_updated DESC NULLS LAST, id"""
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
 ORACLE = {
     "p2_found": _GROUPS + "SELECT entity_id, group_id FROM grp",
     "p4_found": _GROUPS + f"""SELECT group_id, id AS survivor_id FROM (SELECT group_id, id, row_number() OVER (PARTITION BY group_id ORDER BY {_KEY}) AS r
