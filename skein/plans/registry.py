@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import references
+from skein.plans import graph, references, scalar
 
-_MODULES = [references]
+_MODULES = [references, scalar, graph]
 
 
 def queries() -> dict:
