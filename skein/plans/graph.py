@@ -38,6 +38,17 @@ class Graph:
         q = table(self.spark, self.d, "query_result").filter("result_id % 50 = 0")
         return q.select(C("result_id").alias("query_id"), C("question").alias("text"), F.pmod(C("result_id"), F.lit(n)).alias("vec_id")).join(e.select("vec_id", C("embedding").alias("vec")), "vec_id").select("query_id", "text", "vec")
 
+    def mixed_questions(self) -> DataFrame:
+        """The stated questions with sums of one to five vectors: clear to vague ones."""
+        e = table(self.spark, self.d, "embeddings")
+        n = e.count()
+        q = table(self.spark, self.d, "query_result").filter("result_id % 50 = 0").select(C("result_id").alias("query_id"), C("question").alias("text"))
+        parts = F.transform(F.sequence(F.lit(0), F.pmod(F.floor(C("query_id") / 50), F.lit(5))), lambda i: F.pmod(C("query_id") + i * 37, F.lit(n)))
+        hit = q.select("query_id", "text", F.explode(parts).alias("vec_id")).join(e.select("vec_id", C("embedding").cast("array<double>").alias("v")), "vec_id")
+        size = F.size(F.get(C("vs"), F.lit(0)))
+        total = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.aggregate(C("vs"), F.lit(0.0), lambda s, x: s + F.get(x, i)))
+        return hit.groupBy("query_id", "text").agg(F.collect_list("v").alias("vs")).select("query_id", "text", total.alias("vec"))
+
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return Graph(spark, d).edges

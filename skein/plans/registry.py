@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import graph, references, scalar
+from skein.plans import evaluation, graph, ingest, references, retrieval, scalar
 
-_MODULES = [references, scalar, graph]
+_MODULES = [references, scalar, graph, retrieval, ingest, evaluation]
 
 
 def queries() -> dict:
@@ -24,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return references.p3_found(spark, sf_dir)
+    """The tiered cascade over the stated questions."""
+    return retrieval.cascade_answers(spark, sf_dir)
