@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,12 +29,16 @@ from pyspark.sql import functions as F
 
 from skein.session import broadcast_if_small, stage
 
-ROUNDS = 3
+#: Rounds that grow the lexicon, in which documents without a subject do not count,
+#: and rounds that clean it, in which they do.
+GROWING, CLEANING = 5, 2
 #: A document deals with a subject in this share of its sentences, and in so many.
 SUBSTANTIAL, LEAST_SENTENCES = 0.2, 2
 #: A lexicon word: least documents (number, share of all), purity, lead over the next subject.
 #: The lexicon has at most (distinct words per document / LEAST_SHARE) words.
 LEAST_DOCS, LEAST_SHARE, PURE, LEAD = 4, 1e-4, 0.55, 2.5
+#: The same of the first lexicon, which is learned from labels that may be wrong.
+FIRST_LEAST, FIRST_PURE, FIRST_LEAD = 2, 0.45, 2.0
 #: Least posterior probability of an assigned subject.
 POSTERIOR = 0.5
 
@@ -41,6 +47,7 @@ _SOFT = regex.compile(r"\p{Cf}+")
 _WORD = re.compile(r"[^\W\d_]+")
 _STOP = re.compile(r"(?<=[.!?»”…。])\s+")
 NONE = "\x00none"
+STEM = 5
 
 
 def sentences(text: str | None) -> list[list[list[str]]]:
@@ -69,6 +76,20 @@ def sentences(text: str | None) -> list[list[list[str]]]:
     return out
 
 
+@lru_cache(maxsize=200_000)
+def stem(word: str) -> str | None:
+    """The first five letters of a longer word without accents, as a second key.
+
+    Learned words name their subject in other languages too: remedies, remedios.
+    """
+    flat = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    return f"~{flat[:STEM]}" if len(flat) > STEM else None
+
+
+def subject_of(word: str, lexicon: dict[str, str]) -> str | None:
+    return lexicon.get(word) or lexicon.get(stem(word))
+
+
 def tally(sections: list[list[str]], lexicon: dict[str, str]) -> tuple[int, Counter, Counter]:
     """(sentences, sentences per subject, sections per subject) of a parsed text.
 
@@ -80,7 +101,7 @@ def tally(sections: list[list[str]], lexicon: dict[str, str]) -> tuple[int, Coun
         here = set()
         for s in section:
             total += 1
-            votes = Counter(lexicon[w] for w in s.split(" ") if w in lexicon)
+            votes = Counter(x for w in s.split(" ") if (x := subject_of(w, lexicon)))
             if votes:
                 top = max(votes.items(), key=lambda x: (x[1], [-ord(c) for c in x[0]]))[0]
                 per[top] += 1
@@ -93,6 +114,12 @@ def active(total: int, per: Counter) -> list[str]:
     return [s for s, n in per.items() if n >= LEAST_SENTENCES and n >= SUBSTANTIAL * total]
 
 
+def leading(per: Counter) -> list[str]:
+    """Subjects that lead in what a growing lexicon sees of a document."""
+    top = max(per.values(), default=0)
+    return [s for s, n in per.items() if n >= LEAST_SENTENCES and 2 * n >= top]
+
+
 def _parsed(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -105,8 +132,12 @@ def _parsed(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return stage(parsed.join(given, "doc_id", "left"), "parsed")
 
 
-def _learn(parsed: DataFrame, lexicon: dict[str, str] | None, n_docs: int) -> dict[str, str]:
-    """A new lexicon from the documents' subjects by the last one (None: by labels)."""
+def _learn(parsed: DataFrame, lexicon: dict[str, str] | None, n_docs: int, grow: bool) -> dict[str, str]:
+    """A new lexicon from the documents' subjects by the last one (None: by labels).
+
+    While it grows, labelled documents count by their labels too and documents
+    without a subject not at all, as their words may only not be known yet.
+    """
     shared = parsed.sparkSession.sparkContext.broadcast(lexicon)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,8 +151,14 @@ def _learn(parsed: DataFrame, lexicon: dict[str, str] | None, n_docs: int) -> di
                     subjects = list(given)
                 else:
                     total, per, _ = tally(sections, lex)
-                    subjects = active(total, per) or [NONE]
+                    if grow:
+                        subjects = sorted({*leading(per), *(() if given is None else given)})
+                        if not subjects:
+                            continue
+                    else:
+                        subjects = active(total, per) or [NONE]
                 words = {w for sec in sections for s in sec for w in s.split(" ")}
+                words |= {k for w in words if (k := stem(w))}
                 weight = 1 / len(subjects)
                 for s in subjects:
                     for w in words:
@@ -136,9 +173,10 @@ def _learn(parsed: DataFrame, lexicon: dict[str, str] | None, n_docs: int) -> di
         F.sum("n").alias("all"), F.max(F.struct("n", "subject")).alias("top"),
         F.sort_array(F.collect_list("n"), asc=False).alias("ns"),  # as many as there are subjects
     )
-    least = max(LEAST_DOCS - (lexicon is None), int(LEAST_SHARE * n_docs))
+    first = lexicon is None
+    least, pure, lead = (FIRST_LEAST, FIRST_PURE, FIRST_LEAD) if first else (max(LEAST_DOCS, int(LEAST_SHARE * n_docs)), PURE, LEAD)
     second = F.coalesce(F.get("ns", F.lit(1)), F.lit(0.0))
-    rows = per_word.filter((F.col("all") >= least) & (F.col("top.n") >= PURE * F.col("all") * (0.9 if lexicon is None else 1)) & (F.col("top.n") >= LEAD * second) & (F.col("top.subject") != NONE)).select("word", "top.subject")
+    rows = per_word.filter((F.col("all") >= least) & (F.col("top.n") >= pure * F.col("all")) & (F.col("top.n") >= lead * second) & (F.col("top.subject") != NONE)).select("word", "top.subject")
     return {r[0]: r[1] for r in rows.collect()}
 
 
@@ -184,7 +222,7 @@ def latent_accuracies(patterns: np.ndarray, counts: np.ndarray, start: np.ndarra
     return post
 
 
-def subject_posteriors(documents: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def subject_posteriors(documents: DataFrame, labels: DataFrame, growing: int = GROWING, cleaning: int = CLEANING) -> DataFrame:
     """(doc_id, subject, share, n_sentences, posterior) of pairs with any evidence.
 
     Documents without text, sentences or evidence give no rows; without labels
@@ -193,9 +231,9 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, rounds: int = RO
     parsed = _parsed(documents, labels)
     spark = documents.sparkSession
     n_docs = parsed.count()
-    lexicon = _learn(parsed, None, 0)
-    for _ in range(rounds):
-        lexicon = _learn(parsed, lexicon, n_docs)
+    lexicon = _learn(parsed, None, 0, True)
+    for k in range(growing + cleaning):
+        lexicon = _learn(parsed, lexicon, n_docs, k < growing)
     votes = _votes(parsed, lexicon)
     strong = (F.col("n") >= LEAST_SENTENCES) & (F.col("n") >= SUBSTANTIAL * F.col("total"))
     share = F.col("n") / F.greatest("total", F.lit(1))

@@ -50,7 +50,8 @@ def golden_record(members: DataFrame, entities: DataFrame, fields: tuple[str, ..
     the shuffle.  Adds ``survivor_id`` and ``n_records`` (distinct ids).
     """
     m = members.select(F.col("entity_id").alias("id"), "group_id")
-    rows = entities.join(m, "id")
+    need = list(dict.fromkeys(["id", "is_stub", "confidence", "source_count", "last_updated", *fields]))
+    rows = entities.select(*need).join(m, "id")
     conf = F.when(F.col("confidence").isNull() | F.isnan("confidence") | (F.col("confidence") == 0), F.lit(0.5)).when(F.col("confidence") > 1, F.round(F.col("confidence") / 100, 2)).otherwise(F.col("confidence"))
     n = F.when(F.col("source_count").isNull() | (F.col("source_count") == 0), F.lit(1)).otherwise(F.col("source_count"))
     key = F.struct(
