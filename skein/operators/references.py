@@ -35,7 +35,7 @@ def broken_references(refs: DataFrame, parents: DataFrame, tombstones: DataFrame
     apply ``distinct``.  Empty frames give an empty result.
     """
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    refs = refs.filter(F.col("ref_key").isNotNull()).withColumn("batch_no", n("batch_no"))
+    refs = refs.drop("kind", "absent", "first_batch", "gone_batch").filter(F.col("ref_key").isNotNull()).withColumn("batch_no", n("batch_no"))
     parent = (
         parents.select("target", clean_key(F.col("key")).alias("ref_key"), n("batch_no").alias("b"))
         .filter("ref_key is not null").groupBy("target", "ref_key").agg(F.min("b").alias("first_batch"))

@@ -51,6 +51,8 @@ def _stores(spark: SparkSession, d: str) -> cascade.Stores:
     edges = stage(g.edges, "edges")
     docs = table(spark, d, "documents")
     facts = _with_vector(spark, d, docs.select(C("doc_id").cast("string").alias("id"), "doc_id", F.coalesce("title", F.lit("")).alias("text"), F.lit("app_user").alias("user_id"), F.array().cast("array<string>").alias("pathway")), "doc_id").drop("doc_id")
+    named = g.entities.filter("name is not null").join(g.vectors(), "id").select(F.concat(F.lit("e:"), "id").alias("id"), F.concat(F.lit("Entity: "), "name", F.lit(" | Type: "), F.coalesce("node_type", F.lit(""))).alias("text"), F.lit("app_user").alias("user_id"), F.array().cast("array<string>").alias("pathway"), "vec")
+    facts = facts.unionByName(named)
     paths = graph.first_participants(edges).select(C("event_id").alias("id"), F.concat(F.array("event_id"), "entity_ids").alias("pathway")).join(g.vectors(), "id")
     records = docs.select(C("doc_id").alias("stem"), C("text").alias("content"))
     return cascade.Stores(g.nodes, graph.adjacency(edges), g.entities, g.vectors(), facts, paths, records)
