@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.vectors import embedder
-from skein.operators import annotate, graph, linking, segments
+from skein.operators import annotate, graph, linking, pipeline, segments
 from skein.plans.graph import _EDGE, _ENT, Graph
 from skein.session import new_path, stage, table
 from skein.streaming import ingest as streams
@@ -101,9 +101,17 @@ def stream_evidence(spark: SparkSession, d: str) -> DataFrame:
     return out.filter(C("batch") == out.agg(F.max("batch")).first()[0]).select("name", F.date_format("day", "yyyy-MM-dd").alias("day"), "mentions")
 
 
+def ingest_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents taken into an empty graph: counts of its tables."""
+    docs = table(spark, d, "documents").select("doc_id", "title", "text", "source", C("doc_date").alias("date"))
+    before = pipeline.empty_graph(spark)
+    after, resolved = pipeline.ingest(docs, before, F.lit("2026-01-01").cast("date"))
+    return pipeline.summary(before, after, resolved)
+
+
 _NAMES = (
     "segment_paragraphs", "segment_scenes", "segment_meaning", "segment_chunks", "sentence_windows", "link_precedes", "link_across_batches", "temporal_order", "resolve_subset", "resolve_fuzzy", "resolve_cascade",
-    "extract_events", "extract_properties", "resolve_pronouns", "stream_evidence",
+    "extract_events", "extract_properties", "resolve_pronouns", "ingest_documents", "stream_evidence",
 )
 QUERIES = {n: globals()[n] for n in _NAMES}
 _T = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"

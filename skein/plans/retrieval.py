@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.config import RetrievalConfig
 from skein.functions import text
 from skein.functions.ids import pathway_id
-from skein.operators import cascade, entity_graph, graph, grep, traversal, upsert
+from skein.operators import cascade, entity_graph, graph, grep, methods, traversal, upsert
 from skein.plans.graph import _EDGE, _ENT, _EVT, Graph
 from skein.plans.scalar import _DNS, _UUID, _atok, _join, _tok
 from skein.session import stage, table
@@ -72,6 +72,17 @@ def cascade_tier1(spark: SparkSession, d: str) -> DataFrame:
     return t.select("query_id", F.round("confidence", 6).alias("confidence"), F.md5(F.array_join("hits", "\n")).alias("hits"))
 
 
+def method_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """All retrieval methods over the stated questions: length of each context."""
+    c = methods.run_methods(Graph(spark, d).mixed_questions(), _stores(spark, d))
+    return c.select("method_name", "query_id", F.length("context").alias("n"))
+
+
+def chunk_index(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all documents with ids and vectors."""
+    return methods.index_chunks(table(spark, d, "documents")).select("id", "chapter", "chunk_idx", F.size("vec").alias("dim"))
+
+
 def entity_graph_arcs(spark: SparkSession, d: str) -> DataFrame:
     g = Graph(spark, d)
     return entity_graph.co_occurrences(g.events, g.entities).unionByName(entity_graph.located_in(g.events, g.entities))
@@ -115,7 +126,7 @@ def upsert_facts(spark: SparkSession, d: str) -> DataFrame:
     return upsert.store_facts(empty, e).select("id", "seq", "document_id")
 
 
-_NAMES = ("grep_records", "grep_questions", "pathway_backfill", "cascade_answers", "cascade_tier1", "entity_graph_arcs", "entity_graph_seeds", "entity_graph_expand", "upsert_mentions", "upsert_documents", "upsert_facts")
+_NAMES = ("grep_records", "grep_questions", "pathway_backfill", "cascade_answers", "cascade_tier1", "method_contexts", "chunk_index", "entity_graph_arcs", "entity_graph_seeds", "entity_graph_expand", "upsert_mentions", "upsert_documents", "upsert_facts")
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 
