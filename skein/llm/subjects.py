@@ -19,7 +19,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,7 +30,7 @@ from skein.session import broadcast_if_small, stage
 
 #: Rounds that grow the lexicon, in which documents without a subject do not count,
 #: and rounds that clean it, in which they do.
-GROWING, CLEANING = 5, 2
+GROWING, CLEANING = 3, 2
 #: A document deals with a subject in this share of its sentences, and in so many.
 SUBSTANTIAL, LEAST_SENTENCES = 0.2, 2
 #: A lexicon word: least documents (number, share of all), purity, lead over the next subject.
@@ -76,34 +75,48 @@ def sentences(text: str | None) -> list[list[list[str]]]:
     return out
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str) -> str | None:
     """The first five letters of a longer word without accents, as a second key.
 
     Learned words name their subject in other languages too: remedies, remedios.
     """
+    if len(word) <= STEM:
+        return None
+    if word.isascii():
+        return f"~{word[:STEM]}"
     flat = "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
     return f"~{flat[:STEM]}" if len(flat) > STEM else None
 
 
-def subject_of(word: str, lexicon: dict[str, str]) -> str | None:
-    return lexicon.get(word) or lexicon.get(stem(word))
+class Lookup(dict):
+    """Subject of a word (or of its stem) by a lexicon, remembered; None if it has none."""
 
+    def __init__(self, lexicon: dict[str, str]) -> None:
+        super().__init__()
+        self.lexicon = lexicon
 
-def tally(sections: list[list[str]], lexicon: dict[str, str]) -> tuple[int, Counter, Counter]:
+    def __missing__(self, word: str) -> str | None:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = found = self.lexicon.get(word) or self.lexicon.get(stem(word))
+        return found
+
+
+def tally(sections: list[list[str]], lookup: Lookup) -> tuple[int, Counter, Counter]:
     """(sentences, sentences per subject, sections per subject) of a parsed text.
 
     Sentences are blank-separated words.  A sentence counts for the subject with
     most lexicon words in it, the first by name among equals.
     """
     total, per, where = 0, Counter(), Counter()
+    of = lookup.__getitem__
     for section in sections:
         here = set()
         for s in section:
             total += 1
-            votes = Counter(x for w in s.split(" ") if (x := subject_of(w, lexicon)))
+            votes = [x for x in map(of, s.split(" ")) if x]
             if votes:
-                top = max(votes.items(), key=lambda x: (x[1], [-ord(c) for c in x[0]]))[0]
+                top = votes[0] if len(votes) == 1 else max(sorted(set(votes)), key=votes.count)
                 per[top] += 1
                 here.add(top)
         where.update(here)
@@ -123,11 +136,14 @@ def leading(per: Counter) -> list[str]:
 def _parsed(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["sections"] = [[[" ".join(s) for s in sec] for sec in sentences(t)] for t in b["text"]]
+            made = [sentences(t) for t in b["text"]]
+            b["sections"] = [[[" ".join(s) for s in sec] for sec in secs] for secs in made]
+            found = [{w for sec in secs for s in sec for w in s} for secs in made]
+            b["words"] = [sorted(ws | {k for w in ws if (k := stem(w))}) for ws in found]
             yield b.drop(columns="text")
 
     slim = documents.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "work_id", F.lower(F.trim("source")).alias("source"), "text")
-    parsed = slim.mapInPandas(parse, "doc_id long, work_id long, source string, sections array<array<string>>")
+    parsed = slim.mapInPandas(parse, "doc_id long, work_id long, source string, sections array<array<string>>, words array<string>")
     given = labels.filter("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("labels"))
     return stage(parsed.join(given, "doc_id", "left"), "parsed")
 
@@ -141,34 +157,35 @@ def _learn(parsed: DataFrame, lexicon: dict[str, str] | None, n_docs: int, grow:
     shared = parsed.sparkSession.sparkContext.broadcast(lexicon)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lex = shared.value
-        seen: Counter = Counter()
+        lookup = None if shared.value is None else Lookup(shared.value)
+        seen: dict[tuple[str, int], Counter] = {}  # by subject and number of subjects
+
+        def flush() -> pd.DataFrame:
+            parts = [pd.DataFrame({"word": list(c), "subject": s, "n": np.fromiter(c.values(), float) / k}) for (s, k), c in seen.items()]
+            seen.clear()
+            return pd.concat(parts) if parts else pd.DataFrame({"word": [], "subject": [], "n": []}).astype({"word": str, "subject": str, "n": float})
+
         for b in batches:
-            for sections, given in zip(b["sections"], b["labels"]):
-                if lex is None:
+            for sections, words, given in zip(b["sections"], b["words"], b["labels"]):
+                if lookup is None:
                     if given is None:
                         continue
                     subjects = list(given)
                 else:
-                    total, per, _ = tally(sections, lex)
+                    total, per, _ = tally(sections, lookup)
                     if grow:
                         subjects = sorted({*leading(per), *(() if given is None else given)})
                         if not subjects:
                             continue
                     else:
                         subjects = active(total, per) or [NONE]
-                words = {w for sec in sections for s in sec for w in s.split(" ")}
-                words |= {k for w in words if (k := stem(w))}
-                weight = 1 / len(subjects)
                 for s in subjects:
-                    for w in words:
-                        seen[w, s] += weight
-            if len(seen) > 500_000:
-                yield pd.DataFrame([(w, s, n) for (w, s), n in seen.items()], columns=["word", "subject", "n"])
-                seen.clear()
-        yield pd.DataFrame([(w, s, n) for (w, s), n in seen.items()], columns=["word", "subject", "n"])
-
-    counts = parsed.select("sections", "labels").mapInPandas(count, "word string, subject string, n double").groupBy("word", "subject").agg(F.sum("n").alias("n"))
+                    seen.setdefault((s, len(subjects)), Counter()).update(words)
+            if sum(map(len, seen.values())) > 500_000:
+                yield flush()
+        yield flush()
+
+    counts = parsed.select("sections", "words", "labels").mapInPandas(count, "word string, subject string, n double").groupBy("word", "subject").agg(F.sum("n").alias("n"))
     per_word = counts.groupBy("word").agg(
         F.sum("n").alias("all"), F.max(F.struct("n", "subject")).alias("top"),
         F.sort_array(F.collect_list("n"), asc=False).alias("ns"),  # as many as there are subjects
@@ -185,17 +202,18 @@ def _votes(parsed: DataFrame, lexicon: dict[str, str]) -> DataFrame:
     shared = parsed.sparkSession.sparkContext.broadcast(lexicon)
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lookup = Lookup(shared.value)
         for b in batches:
             rows = []
             for d, w, src, sections, given in zip(b["doc_id"], b["work_id"], b["source"], b["sections"], b["labels"]):
-                total, per, where = tally(sections, shared.value)
+                total, per, where = tally(sections, lookup)
                 marks = set() if given is None else set(given)
                 for s in set(per) | marks:
                     rows.append((d, None if pd.isna(w) else int(w), src, s, per[s], total, where[s], 0 if given is None else 1 if s in marks else 2))
             out = pd.DataFrame(rows, columns=["doc_id", "work_id", "source", "subject", "n", "total", "sections", "given"])
             yield out.astype({"doc_id": "int64", "work_id": "Int64", "n": "int64", "total": "int64", "sections": "int64", "given": "int64"})
 
-    return stage(parsed.mapInPandas(vote, "doc_id long, work_id long, source string, subject string, n long, total long, sections long, given long"), "votes")
+    return stage(parsed.drop("words").mapInPandas(vote, "doc_id long, work_id long, source string, subject string, n long, total long, sections long, given long"), "votes")
 
 
 def latent_accuracies(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 50) -> np.ndarray:
