@@ -73,8 +73,8 @@ def cascade_tier1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def method_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """All retrieval methods over the stated questions: length of each context."""
-    c = methods.run_methods(Graph(spark, d).mixed_questions(), _stores(spark, d))
+    """The methods without queries of their own over the stated questions: length of each context."""
+    c = methods.run_methods(Graph(spark, d).mixed_questions(), _stores(spark, d), only=["dense", "rag_chunks", "graph_rag", "filestore"])
     return c.select("method_name", "query_id", F.length("context").alias("n"))
 
 
