@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.session import text_batches
+
 
 #: Words that a document must share with a passage, in sequence.
 MIN_WORDS = 12
@@ -101,6 +103,7 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, pa
     executors.
     """
     spark = documents.sparkSession
+    text_batches(spark)
     rows = [(r[0], r[1]) for r in items.select("item_id", "passage").filter("item_id is not null and passage is not null").distinct().toLocalIterator()]
     docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
     out = None

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.session import stage
+from skein.session import stage, text_batches
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Documents of a block on average; one block is what a single task sorts.
@@ -110,6 +110,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     share counts 0, a null max_repeat 1.  Documents delivered twice count once.
     """
     spark = documents.sparkSession
+    text_batches(spark)
     tgt = (
         targets.filter("source is not null").distinct().groupBy(source_key(F.col("source")).alias("source"))
         .agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeat", F.lit(1))).alias("max_repeat"))

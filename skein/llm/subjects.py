@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import broadcast_if_small, stage
+from skein.session import broadcast_if_small, stage, text_batches
 
 #: Rounds that grow the lexicon, in which documents without a subject do not count,
 #: and rounds that clean it, in which they do.
@@ -246,8 +246,9 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, growing: int = G
     Documents without text, sentences or evidence give no rows; without labels
     there is no lexicon and no row.  Rows delivered twice count once.
     """
-    parsed = _parsed(documents, labels)
     spark = documents.sparkSession
+    text_batches(spark)
+    parsed = _parsed(documents, labels)
     n_docs = parsed.count()
     lexicon = _learn(parsed, None, 0, True)
     for k in range(growing + cleaning):
