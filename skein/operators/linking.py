@@ -54,7 +54,8 @@ def fuzzy_match(names: DataFrame, known: DataFrame, least: float = FUZZY) -> Dat
     """(name, id, ratio): best known name of each name at ``least`` (88 or more).
 
     Lower case is compared, words sorted.  Candidates meet on letter groups by
-    equi-join and must have lengths that allow the ratio; there is no cross join.
+    equi-join and must share as many as the edits that the ratio allows can leave;
+    only these are compared letter by letter, and there is no cross join.
     Ties go to the smaller id.
     """
     tidy = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != "")), " ")
@@ -62,8 +63,14 @@ def fuzzy_match(names: DataFrame, known: DataFrame, least: float = FUZZY) -> Dat
     b = known.select("id", F.col("name").alias("known")).filter("known is not null").withColumn("y", tidy(F.col("known"))).filter("y <> ''")
     x, y = a.select("x").distinct(), b.select("y").distinct()
     p, q = F.length("x"), F.length("y")
-    met = x.select("x", F.explode(_grams(F.col("x"))).alias("g")).join(y.select("y", F.explode(_grams(F.col("y"))).alias("g")), "g")
-    may = met.filter(F.abs(p - q) <= (1 - least / 100) * (p + q) + 1e-9).select("x", "y").distinct()
+    of_size = lambda n: F.size(F.filter(_grams(F.col("x")), lambda g: F.length(g) == n))
+    met = x.select("x", of_size(2).alias("two"), of_size(3).alias("three"), F.explode(_grams(F.col("x"))).alias("g")).join(y.select("y", F.explode(_grams(F.col("y"))).alias("g")), "g")
+    # edits that the ratio allows, and the groups of x that must survive them
+    edits = F.floor((1 - least / 100) * (p + q) + 1e-9)
+    size = F.when((p >= 7) & (q >= 7), 3).otherwise(2)
+    shared = met.filter((F.length("g") == size) | (F.least(p, q) < 2)).filter(F.abs(p - q) <= edits).groupBy("x", "y", "two", "three").agg(F.count("*").alias("n"))
+    own = F.when(size == 3, F.col("three")).otherwise(F.col("two"))
+    may = shared.filter(F.col("n") >= own - size * edits).select("x", "y")
     scored = may.withColumn("ratio", sort_ratio("x", "y")).filter(F.col("ratio") >= least)
     best = a.join(scored, "x").join(b, "y").groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "id")).alias("m"))
     return best.select("name", F.col("m.id").alias("id"), (-F.col("m.r")).alias("ratio"))
