@@ -12,7 +12,11 @@ Features for the minwise hashes are the words of a text that are not common,
 plus every number with the word after it.  Common words (at least one text in a
 thousand) are counted over the whole first batch and kept with the index: the
 words of a turn of phrase would otherwise make all texts of one wording
-candidates of each other.  Texts with hardly any other word use all words.
+candidates of each other.  Texts with hardly any other word use all words.  As
+a retelling may have more words left than its first telling, every text is also
+signed by exact keys that do not turn on their number: its numbers with a
+counted thing, alone and with each name that is a common word; texts that count
+nothing are signed by all their words besides.
 Reworded texts may share no sequence of five words, so the sets are of words and
 not of shingles, and the verdict is on people, places, numbers and things.
 """
@@ -81,6 +85,35 @@ def band_keys(texts: list[str], common: frozenset[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def exact_keys(text: str, hot: frozenset[str]) -> set[str]:
+    """All numbers of a text with a counted thing, and these with each of its ``hot`` words.
+
+    Beside a hot word stand the first and the last two letters of the thing, as a
+    slip spoils only one of them in all but the shortest words.
+    """
+    low = plain(text).lower()
+    found = set(_WORD.findall(low))
+    numbers = " ".join(sorted(w for w in found if w.isdigit()))
+    things = {t for _, t in _COUNTED.findall(low)}
+    keys = {f"{numbers}={t}" for t in things}
+    for t in things:
+        for w in (found & hot) - {t}:
+            keys |= {f"{numbers}|{t[:2]}|{w}", f"{numbers}~{t[-2:]}~{w}"}
+    return keys
+
+
+def signatures(texts: list[str], common: frozenset[str], usual: frozenset[str]) -> list[np.ndarray]:
+    """Band keys and exact keys of each text; two tellings of one event share one."""
+    out = list(band_keys(texts, common))
+    bare = [i for i, t in enumerate(texts) if not _COUNTED.search(plain(t))]
+    whole = dict(zip(bare, band_keys([texts[i] for i in bare], frozenset())))
+    hot = common - usual
+    for i, t in enumerate(texts):
+        own = np.array([xxhash.xxh3_64_intdigest(k) for k in exact_keys(t, hot)], dtype=np.uint64).view(np.int64)
+        out[i] = np.unique(np.concatenate([out[i], whole.get(i, own), own]))
+    return out
+
+
 def near(a: str, b: str) -> bool:
     """Equal but for one typing slip: a change, an extra letter, a swap."""
     if a == b:
@@ -204,7 +237,7 @@ class EventHistory:
 
         def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                b["bands"] = list(band_keys(b["text"].tolist(), shared.value[0]))
+                b["bands"] = signatures(b["text"].tolist(), *shared.value)
                 yield b
 
         signed = stage(texts.mapInPandas(sign, "copy string, id string, batch_no int, text string, bands array<long>"), "signed")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm.history import EventHistory, band_keys, features, repeated_events, same_event
+from skein.llm.history import EventHistory, band_keys, features, repeated_events, same_event, signatures
 
 EV = "id string, title string, summary string, document_id bigint, batch_no int"
 
@@ -91,3 +91,31 @@ def test_history_is_kept_between_batches(spark):
     assert [tuple(r) for r in h.ingest(make([("b", 1, "12 carts sold Ann Lee"), ("n", 1, "Bob Ray kept 3 maps.")])).collect()] == [("b", "a")]
     assert [tuple(r) for r in h.ingest(make([("c", 2, "Bob Ray kept 3 maps")])).collect()] == [("c", "n")]
     h.close()
+
+
+@pytest.mark.parametrize(
+    "a, b, common, usual",
+    [
+        ("At Old Ford Ann Lee lost 79 letters to Bob Ray.", "As said before: At Old Ford Ann Lee lost 79 letters to Bob Ray.", "at old ford ann lee lost to bob ray letters", "at lost to letters"),
+        ("Ann Lee sent 8 sentries to Bob Ray.", "Ann Lee sent 8 sentires to Bob Ray, so it was said.", "ann lee sent sentries to bob ray", "sent sentries to"),
+        ("They moved 12 carts by night.", "They moved 12 carts by night, or so Zubi Wem says.", "they moved carts by night", "they moved carts by night"),
+        ("Ann Lee left Old Mill by night and told Bob Ray.", "Ann Lee left Old Mill by night and told Bob Ray, without one word.", "ann lee left old mill by night and told bob ray", "left by night and told"),
+    ],
+)
+def test_added_words_do_not_part_two_tellings(a, b, common, usual):
+    common, usual = frozenset(common.split()), frozenset(usual.split())
+    assert same_event(a, b, usual)
+    x, y = signatures([a, b], common, usual)
+    assert set(x.tolist()) & set(y.tolist())
+
+
+def test_added_words_in_a_later_batch(spark):
+    """A hot person at a hot place: few telling words are left, and the retelling adds three."""
+    first = [(f"a{i:03}", 0, f"At Old Ford Ann Lee lost {i} letters to Bob Ray.") for i in range(40)]
+    later = [(f"b{i:03}", 1, f"As mentioned previously: At Old Ford Ann Lee lost {i} letters to Bob Ray.") for i in range(40)]
+    h = EventHistory(spark)
+    make = lambda rows: spark.createDataFrame(rows, "id string, batch_no int, text string")
+    h.ingest(make(first))
+    got = {(r.id, r.first_id) for r in h.ingest(make(later)).collect()}
+    h.close()
+    assert got == {(f"b{i:03}", f"a{i:03}") for i in range(40)}
