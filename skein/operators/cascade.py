@@ -22,7 +22,10 @@ FACTS, ANCHORS, PATHWAYS, PATH_NODES, STORED_NODES, STORED_WORDS = 5, 8, 5, 15,
 
 @dataclass
 class Stores:
-    """What the cascade searches: frames as the graph and vector modules make them."""
+    """What the cascade and the methods search: frames as the graph and vector modules make them.
+
+    ``arcs``: source, target, relation of the entity graph, by name.
+    """
 
     nodes: DataFrame
     adjacency: DataFrame
@@ -31,6 +34,7 @@ class Stores:
     facts: DataFrame
     pathways: DataFrame
     records: DataFrame
+    arcs: DataFrame | None = None
 
 
 @dataclass

@@ -38,12 +38,15 @@ def graph_prop(queries: DataFrame, s: cascade.Stores, k: int) -> DataFrame:
 
 
 def graph_rag(queries: DataFrame, s: cascade.Stores, k: int) -> DataFrame:
-    """Directed expansion around the most similar entities."""
+    """Two directed steps over the entity graph around the most similar entities.
+
+    Without ``arcs`` in the stores, over the adjacency by name.
+    """
     named = s.nodes.filter("node_type = 'entity' and name is not null")
     seeds = named.join(s.vectors, "id").groupBy(F.lower("name").alias("id")).agg(F.min_by("vec", "id").alias("vec"))
     n = s.nodes.select("id", "name")
-    arcs = s.adjacency.join(n.select(F.col("id").alias("src"), F.col("name").alias("source")), "src").join(n.select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst").select("source", "target", F.concat(F.lit("K"), "kind_ord").alias("relation"))
-    nodes, found = entity_graph.search(queries, seeds, named.select("name", "node_type", F.col("content").alias("description")), arcs, k, max_hops=1)
+    arcs = s.arcs if s.arcs is not None else s.adjacency.join(n.select(F.col("id").alias("src"), F.col("name").alias("source")), "src").join(n.select(F.col("id").alias("dst"), F.col("name").alias("target")), "dst").select("source", "target", F.concat(F.lit("K"), "kind_ord").alias("relation"))
+    nodes, found = entity_graph.search(queries, seeds, named.select("name", "node_type", F.col("content").alias("description")), arcs, k)
     return entity_graph.format_graph(nodes, found)
 
 

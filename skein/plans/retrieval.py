@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +76,10 @@ def cascade_tier1(spark: SparkSession, d: str) -> DataFrame:
 
 def method_contexts(spark: SparkSession, d: str) -> DataFrame:
     """The methods without queries of their own over the stated questions: length of each context."""
-    c = methods.run_methods(Graph(spark, d).mixed_questions(), _stores(spark, d), only=["dense", "rag_chunks", "graph_rag", "filestore"])
+    g = Graph(spark, d)
+    arcs = entity_graph_arcs(spark, d).unionByName(entity_graph.alias_arcs(g.edges, g.entities))
+    s = replace(_stores(spark, d), arcs=stage(arcs, "arcs"))
+    c = methods.run_methods(g.mixed_questions(), s, only=["dense", "rag_chunks", "graph_rag", "filestore"])
     return c.select("method_name", "query_id", F.length("context").alias("n"))
 
 

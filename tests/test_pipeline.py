@@ -1,4 +1,5 @@
 import datetime as dt
+from dataclasses import replace
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -77,3 +78,12 @@ def test_indexes(spark):
     e = spark.createDataFrame([("1", "Ann", "p", False, {"a": "b"}), ("2", "ANN", "p", False, {}), ("3", "Stub", "p", True, {})], "id string, name string, node_type string, is_stub boolean, properties map<string,string>")
     assert rows(methods.index_entities(e), "key", "name") == [("ann", "ANN")]
     upsert.check_dimension(methods.index_chunks(d), 64).collect()
+
+
+def test_graph_rag_takes_two_steps_over_the_entity_graph(spark):
+    s = replace(stores(spark), arcs=spark.createDataFrame([("n1", "Bob Ray", "CO_OCCURS"), ("Bob Ray", "Old Mill", "LOCATED_IN")], "source string, target string, relation string"))
+    more = spark.createDataFrame([("b1", "entity", "Bob Ray", "bob", False), ("m1", "entity", "Old Mill", "mill", False)], "id string, node_type string, name string, content string, is_stub boolean")
+    s = replace(s, nodes=s.nodes.unionByName(more, allowMissingColumns=True))
+    q = spark.createDataFrame([(1, "n1", [1.0, 0.0])], "query_id int, text string, vec array<double>")
+    text = methods.graph_rag(q, s, 1).first().context
+    assert "Bob Ray" in text and "Old Mill" in text.split("Relations:")[0]
