@@ -25,6 +25,7 @@ class Stores:
     """What the cascade and the methods search: frames as the graph and vector modules make them.
 
     ``arcs``: source, target, relation of the entity graph, by name.
+    ``chunks``: id, text, vec of the pieces of whole documents.
     """
 
     nodes: DataFrame
@@ -35,6 +36,7 @@ class Stores:
     pathways: DataFrame
     records: DataFrame
     arcs: DataFrame | None = None
+    chunks: DataFrame | None = None
 
 
 @dataclass

@@ -25,9 +25,9 @@ def dense(queries: DataFrame, s: cascade.Stores, k: int) -> DataFrame:
     return _joined(vector.search_facts(queries, s.facts, k))
 
 
-def rag_chunks(queries: DataFrame, s: cascade.Stores, k: int, chunk_vectors: DataFrame | None = None) -> DataFrame:
-    """The k most similar chunks with their rounded scores; chunks: id, text, vec."""
-    chunks = s.facts.select("id", "text", "vec") if chunk_vectors is None else chunk_vectors
+def rag_chunks(queries: DataFrame, s: cascade.Stores, k: int) -> DataFrame:
+    """The k most similar chunks with their rounded scores; facts where the stores have no chunks."""
+    chunks = (s.facts if s.chunks is None else s.chunks).select("id", "text", "vec")
     hits = vector.top_k(queries, chunks, k).join(chunks.select("id", "text"), "id")
     return _joined(hits.withColumn("text", F.concat(F.format_string("[%d] (%.4f) ", "rank", F.round("score", 4)), "text")))
 

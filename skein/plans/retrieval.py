@@ -60,6 +60,12 @@ def _stores(spark: SparkSession, d: str) -> cascade.Stores:
     return cascade.Stores(g.nodes, graph.adjacency(edges), g.entities, g.vectors(), facts, paths, records)
 
 
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text, vec): the chunks of all documents; vectors as those of nodes, by a hash of the id."""
+    c = methods.index_chunks(table(spark, d, "documents")).select("id", "text").dropDuplicates(["id"])
+    return _with_vector(spark, d, c.withColumn("h", F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("bigint")), "h").drop("h")
+
+
 def cascade_answers(spark: SparkSession, d: str) -> DataFrame:
     """The tiered cascade over the stated questions: tier, confidence, hits."""
     a = cascade.retrieve(Graph(spark, d).mixed_questions(), _stores(spark, d)).answers
@@ -78,7 +84,7 @@ def method_contexts(spark: SparkSession, d: str) -> DataFrame:
     """The methods without queries of their own over the stated questions: length of each context."""
     g = Graph(spark, d)
     arcs = entity_graph_arcs(spark, d).unionByName(entity_graph.alias_arcs(g.edges, g.entities))
-    s = replace(_stores(spark, d), arcs=stage(arcs, "arcs"))
+    s = replace(_stores(spark, d), arcs=stage(arcs, "arcs"), chunks=stage(_chunks(spark, d), "chunks"))
     c = methods.run_methods(g.mixed_questions(), s, only=["dense", "rag_chunks", "graph_rag", "filestore"])
     return c.select("method_name", "query_id", F.length("context").alias("n"))
 

@@ -87,3 +87,9 @@ def test_graph_rag_takes_two_steps_over_the_entity_graph(spark):
     q = spark.createDataFrame([(1, "n1", [1.0, 0.0])], "query_id int, text string, vec array<double>")
     text = methods.graph_rag(q, s, 1).first().context
     assert "Bob Ray" in text and "Old Mill" in text.split("Relations:")[0]
+
+
+def test_rag_chunks_searches_the_texts(spark):
+    chunks = spark.createDataFrame([("c1", "a piece of a text", [1.0, 0.0]), ("c2", "another piece", [0.0, 1.0])], "id string, text string, vec array<double>")
+    q = spark.createDataFrame([(1, "n1", [1.0, 0.0])], "query_id int, text string, vec array<double>")
+    assert methods.rag_chunks(q, replace(stores(spark), chunks=chunks), 1).first().context == "[1] (1.0000) a piece of a text"
