@@ -1,5 +1,6 @@
 import datetime as dt
 from dataclasses import replace
+from types import SimpleNamespace
 
 from conftest import rows
 from pyspark.sql import functions as F
@@ -93,3 +94,18 @@ def test_rag_chunks_searches_the_texts(spark):
     chunks = spark.createDataFrame([("c1", "a piece of a text", [1.0, 0.0]), ("c2", "another piece", [0.0, 1.0])], "id string, text string, vec array<double>")
     q = spark.createDataFrame([(1, "n1", [1.0, 0.0])], "query_id int, text string, vec array<double>")
     assert methods.rag_chunks(q, replace(stores(spark), chunks=chunks), 1).first().context == "[1] (1.0000) a piece of a text"
+
+
+def test_method_contexts_runs_every_method(monkeypatch, spark):
+    from skein.plans import retrieval
+
+    asked = []
+    monkeypatch.setattr(retrieval, "_stores", lambda spark, d: stores(spark))
+    monkeypatch.setattr(retrieval, "_chunks", lambda spark, d: stores(spark).facts)
+    monkeypatch.setattr(retrieval, "entity_graph_arcs", lambda spark, d: spark.createDataFrame([], "source string, target string, relation string"))
+    monkeypatch.setattr(retrieval.entity_graph, "alias_arcs", lambda edge, ents: spark.createDataFrame([], "source string, target string, relation string"))
+    monkeypatch.setattr(retrieval, "Graph", lambda spark, d: SimpleNamespace(edges=None, entities=None, mixed_questions=lambda: spark.createDataFrame([(1, "n1", [1.0, 0.0])], "query_id int, text string, vec array<double>")))
+    for name in methods.METHODS:
+        monkeypatch.setitem(methods.METHODS, name, lambda q, s, k, name=name: asked.append(name) or q.select("query_id", F.lit("x").alias("context")))
+    got = retrieval.method_contexts(spark, "")
+    assert set(asked) == set(methods.METHODS) and {r.method_name for r in got.collect()} == set(methods.METHODS)
