@@ -113,6 +113,20 @@ def entity_graph_expand(spark: SparkSession, d: str) -> DataFrame:
     return n.join(found.groupBy("query_id").agg(F.count("*").alias("n_arcs")), "query_id", "left").select("query_id", "n_nodes", "max_hop", F.coalesce("n_arcs", F.lit(0)).alias("n_arcs"))
 
 
+def entity_graph_expand_all(spark: SparkSession, d: str) -> DataFrame:
+    """How far the graph reaches in two directed steps from every distinct source."""
+    return _reach(stage(entity_graph_arcs(spark, d), "arcs"))
+
+
+def _reach(arcs: DataFrame) -> DataFrame:
+    """(query_id, n_nodes, max_hop, n_arcs) of each source; arcs are counted by node and not paired with the sources."""
+    seeds = arcs.select(C("source").alias("query_id"), C("source").alias("name")).distinct()
+    nodes, _ = traversal.expand_graph(seeds, arcs, 2)
+    out = arcs.distinct().groupBy(F.lower("source").alias("name")).agg(F.count("*").alias("out"))
+    n = nodes.join(out, "name", "left").groupBy("query_id")
+    return n.agg(F.count("*").alias("n_nodes"), F.max("hop").alias("max_hop"), F.coalesce(F.sum("out"), F.lit(0)).alias("n_arcs"))
+
+
 def upsert_mentions(spark: SparkSession, d: str) -> DataFrame:
     """Entities after the unresolved names of the batches after the first."""
     g = Graph(spark, d)
@@ -137,7 +151,7 @@ def upsert_facts(spark: SparkSession, d: str) -> DataFrame:
     return upsert.store_facts(empty, e).select("id", "seq", "document_id")
 
 
-_NAMES = ("grep_records", "grep_questions", "pathway_backfill", "cascade_answers", "cascade_tier1", "method_contexts", "chunk_index", "entity_graph_arcs", "entity_graph_seeds", "entity_graph_expand", "upsert_mentions", "upsert_documents", "upsert_facts")
+_NAMES = ("grep_records", "grep_questions", "pathway_backfill", "cascade_answers", "cascade_tier1", "method_contexts", "chunk_index", "entity_graph_arcs", "entity_graph_seeds", "entity_graph_expand", "entity_graph_expand_all", "upsert_mentions", "upsert_documents", "upsert_facts")
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 

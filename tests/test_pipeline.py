@@ -109,3 +109,19 @@ def test_method_contexts_runs_every_method(monkeypatch, spark):
         monkeypatch.setitem(methods.METHODS, name, lambda q, s, k, name=name: asked.append(name) or q.select("query_id", F.lit("x").alias("context")))
     got = retrieval.method_contexts(spark, "")
     assert set(asked) == set(methods.METHODS) and {r.method_name for r in got.collect()} == set(methods.METHODS)
+
+
+def test_expansion_from_every_source_against_brute_force(spark):
+    from skein.plans import registry, retrieval
+
+    assert "entity_graph_expand_all" in registry.queries()
+    arcs = {(f"N{a}", f"n{b}" if b % 3 else f"N{b}", "R") for a in range(14) for b in range(14) if a != b and (a * 7 + b * 5) % 11 == 0} | {("n1", "N2", "S"), ("N1", "End", "R")}
+    want = set()
+    for s in {a[0] for a in arcs}:
+        level, seen, hop = {s.lower()}, {s.lower(): 0}, 0
+        for hop in (1, 2):
+            level = {t.lower() for x, t, _ in arcs if x.lower() in level} - set(seen)
+            seen |= {t: hop for t in level}
+        want.add((s, len(seen), max(seen.values()), sum(x.lower() in seen for x, _, _ in arcs)))
+    got = retrieval._reach(spark.createDataFrame(sorted(arcs) * 2, "source string, target string, relation string"))
+    assert set(rows(got, "query_id", "n_nodes", "max_hop", "n_arcs")) == want and len(want) > 10
