@@ -170,6 +170,23 @@ def hops(ids: DataFrame, edge: DataFrame, n: int = 2) -> DataFrame:
     return out.filter("id <> at").select("id", F.col("at").alias("other"))
 
 
+def hop_counts(edge: DataFrame) -> DataFrame:
+    """(id, n): how many other nodes lie exactly two undirected steps from each node, as ``hops`` counts them.
+
+    The neighbours of a start's neighbour of most edges are not paired with the
+    start: their number is taken as it is, and only what the start reaches by its
+    other neighbours and that one does not have is counted beside it.
+    """
+    both = edge.select("src", "dst").unionByName(edge.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    size = both.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("size"))
+    top = both.join(size, "dst").groupBy(F.col("src").alias("id")).agg(F.max(F.struct("size", F.col("dst").alias("hub"))).alias("t")).select("id", "t.*")
+    step = both.withColumnRenamed("src", "id").join(top, "id").filter(F.col("dst") != F.col("hub")).select("id", "hub", F.col("dst").alias("at"))
+    seen = both.select(F.col("src").alias("hub"), F.col("dst").alias("other"))
+    more = step.join(both.select(F.col("src").alias("at"), F.col("dst").alias("other")), "at").select("id", "hub", "other").distinct().join(seen, ["hub", "other"], "left_anti")
+    n = top.join(more.groupBy("id").agg(F.count("*").alias("more")), "id", "left")
+    return n.select("id", (F.col("size") + F.coalesce("more", F.lit(0)) - 1).alias("n")).filter("n > 0")  # a start reaches itself
+
+
 def descriptions(ents: DataFrame) -> DataFrame:
     """(id, name, node_type, description) for the entity graph.
 

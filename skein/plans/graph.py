@@ -99,6 +99,11 @@ def graph_two_hops(spark: SparkSession, d: str) -> DataFrame:
     return graph.hops(ids, g.edges.filter("kind in ('CAUSES', 'PRECEDES')")).groupBy("id").agg(F.count("*").alias("n"))
 
 
+def graph_two_hops_all(spark: SparkSession, d: str) -> DataFrame:
+    """How many nodes lie within two undirected steps of each entity and event, over all kinds of edges."""
+    return graph.hop_counts(stage(Graph(spark, d).edges, "edges"))
+
+
 def graph_descriptions(spark: SparkSession, d: str) -> DataFrame:
     return graph.descriptions(Graph(spark, d).entities)
 
@@ -190,7 +195,7 @@ start AS (SELECT r.result_id AS query_id, start_id, e.embedding AS vec FROM quer
 acc0 AS (SELECT query_id, start_id, start_id AS node_id, 0 AS hop, list_cosine_similarity(start.vec::DOUBLE[], vec.vec::DOUBLE[]) * CASE WHEN node.is_stub THEN 0.5 ELSE 1 END AS prop_score, 1 AS ord FROM start JOIN vec ON vec.id = start_id JOIN node ON node.id = start_id),
 raw0 AS (SELECT * FROM acc0), all0 AS (SELECT * FROM acc0)"""
 
-_NAMES = ("graph_edges", "graph_nodes", "graph_label_counts", "graph_neighbours", "graph_lookup", "graph_fetch_pathway", "graph_search_names", "graph_shared_events", "graph_two_hops", "graph_descriptions", "graph_known_names", "graph_peopled_events", "vector_top_k", "vector_floor", "graph_propagate", "graph_propagate_metrics")
+_NAMES = ("graph_edges", "graph_nodes", "graph_label_counts", "graph_neighbours", "graph_lookup", "graph_fetch_pathway", "graph_search_names", "graph_shared_events", "graph_two_hops", "graph_two_hops_all", "graph_descriptions", "graph_known_names", "graph_peopled_events", "vector_top_k", "vector_floor", "graph_propagate", "graph_propagate_metrics")
 QUERIES = {n: globals()[n] for n in _NAMES}
 _TOPK = """SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id)::INT AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0"""

@@ -125,3 +125,15 @@ def test_expansion_from_every_source_against_brute_force(spark):
         want.add((s, len(seen), max(seen.values()), sum(x.lower() in seen for x, _, _ in arcs)))
     got = retrieval._reach(spark.createDataFrame(sorted(arcs) * 2, "source string, target string, relation string"))
     assert set(rows(got, "query_id", "n_nodes", "max_hop", "n_arcs")) == want and len(want) > 10
+
+
+def test_two_hops_of_all_kinds_against_pairs(spark):
+    from skein.operators import graph
+    from skein.plans import registry
+
+    assert "graph_two_hops_all" in registry.queries()
+    edge = [("p", f"e{i}", "PARTICIPANT_IN") for i in range(9)] + [(f"e{i}", f"l{i % 2}", "LOCATED_AT") for i in range(9)] + [("e1", "e2", "CAUSES"), ("e2", "e1", "CAUSES"), ("e3", "e3", "CAUSES"), ("q", "e4", "PARTICIPANT_IN"), ("x", "y", "PRECEDES")]
+    df = spark.createDataFrame(edge, "src string, dst string, kind string")
+    ids = df.select(F.col("src").alias("id")).union(df.select("dst")).distinct()
+    want = rows(graph.hops(ids, df).groupBy("id").agg(F.count("*").alias("n")), "id", "n")
+    assert rows(graph.hop_counts(df), "id", "n") == want and dict(want)["p"] >= 2
