@@ -115,11 +115,11 @@ def body_of(html: Column) -> Column:
 
 def clean_book_text(html: Column) -> Column:
     """Book pages to text: no style and script, tags to blanks, line structure kept."""
-    text = F.regexp_replace(html, r"(?is)<(style|script)[^>]*>.*?</(style|script)>", "")
+    text = F.regexp_replace(html, r"(?is)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>", " ")
     text = F.regexp_replace(text, "<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.regexp_replace(text, r"&[a-zA-Z#0-9]+;", " ")
+    text = F.regexp_replace(text, r"&#?[\p{L}\p{N}_]+;", " ")
     return trim_all(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 

@@ -122,10 +122,10 @@ _STRIPPED = f"regexp_replace({_HTML}, '<[^>]+>', ' ', 'g')"
 for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&mdash;", "—"), ("&ndash;", "–")):
     _STRIPPED = f"replace({_STRIPPED}, '{_a}', '{_b}')"
 _STRIPPED = _TRIM.format(rf"regexp_replace({_STRIPPED}, '\s+', ' ', 'g')")
-_BOOK = r"regexp_replace(regexp_replace(text, '(?is)<(style|script)[^>]*>.*?</(style|script)>', '', 'g'), '<[^>]+>', ' ', 'g')"
+_BOOK = r"regexp_replace(regexp_replace(text, '(?is)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>', ' ', 'g'), '<[^>]+>', ' ', 'g')"
 for _a, _b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
     _BOOK = f"replace({_BOOK}, '{_a}', '{_b}')"
-_BOOK = _TRIM.format(r"regexp_replace(regexp_replace(regexp_replace(" + _BOOK + r", '&[a-zA-Z#0-9]+;', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
+_BOOK = _TRIM.format(r"regexp_replace(regexp_replace(regexp_replace(" + _BOOK + r", '&#?[\p{L}\p{N}_]+;', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")
 _PLAIN = _TRIM.format(r"regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')")
 _PLAIN = _TRIM.format(rf"regexp_replace({_PLAIN}, 'Chapter \d+:.*?Translator:.*?Editor:\s*\S+', '', 'g')")
 _ANS = f"list_filter({_words('expected_answer')}, lambda t: NOT list_contains({_ASTOP}, t))"

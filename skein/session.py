@@ -2,8 +2,8 @@
 
 Long iterative plans are cut by writing a table to the shared folder that the
 cluster names in ``spark.checkpoint.dir``; every executor can read it again
-after a loss.  Only where that setting is absent (local tests) a private folder
-is chosen.
+after a loss.  Only in local mode, where that setting may be absent, a private
+folder is chosen; on a cluster its absence is an error.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ def work_dir(spark: SparkSession) -> str:
     if app not in _roots:
         base = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
         if not base:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise RuntimeError(f"set {_KEY} to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="skein-")
             spark.conf.set(_KEY, base)
         root = f"{base.rstrip('/')}/skein-{app}"
@@ -87,16 +89,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of an Arrow batch where rows hold whole texts.
-TEXT_BATCH = 2_000
+#: Bytes of an Arrow batch, so that batches of long texts fit a Python worker.
+BATCH_BYTES = 16 << 20
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH) -> None:
-    """Lower the rows per Arrow batch of the session, so batches of long texts fit a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def text_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Bound the bytes per Arrow batch of the session; rows per batch stay as they are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key, "-1"))
+    if now <= 0 or now > size:
+        spark.conf.set(key, str(size))
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -21,6 +21,7 @@ def test_key_tokens(spark):
 def test_html(spark):
     assert one(spark, text.strip_html(F.col("a")), a="<p>a &amp;lt; b</p>\n <b>c</b>") == "a &lt; b c"
     assert one(spark, text.clean_book_text(F.col("a")), a="<style>x</style><p>a&amp;lt;b</p>&copy;\n\n\n\nd") == "a<b \n\nd"
+    assert one(spark, text.clean_book_text(F.col("a")), a="a<script>1</style>2</script>b<STYLE\nx>y</STYLE>c&#x2019;d") == "a b c d"
     assert one(spark, text.body_of(F.col("a")), a="no body") == "no body"
 
 

@@ -3,7 +3,7 @@ import random
 from dataclasses import replace
 
 import numpy as np
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from skein.config import RetrievalConfig
@@ -101,28 +101,20 @@ def test_grep(spark):
     assert grep.grep(spark.createDataFrame([(1, "stone")], "query_id int, text string"), many).first().block.count("\n") == 10
 
 
-def brute_chunks(text, size, overlap):
-    out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            cut = next((i for i in range(end, start, -1) if text[i] in " \n\t"), None)
-            end = end if cut is None else cut
-        if len(text[start:end].strip()) >= 40:
-            out.append(text[start:end].strip())
-        if end == len(text):
-            return out
-        start = max(start + 1, end - overlap)
-    return out
-
-
-def test_chunks():
+def test_chunks(spark):
     rnd = random.Random(1)
-    for _ in range(30):
-        text = "".join(rnd.choice("abcde  \n") for _ in range(rnd.randrange(0, 900)))
-        assert segments.cut(text, 100, 30) == brute_chunks(text, 100, 30)
-    assert segments.cut(None) == [] and segments.cut("x" * 30) == []
-    assert segments.cut("y" * 1000, 400, 80)[0] == "y" * 400
+    texts = ["".join(rnd.choice("abcde  \n") for _ in range(rnd.randrange(0, 900))) for _ in range(30)] + [None, "x" * 30, "y" * 1000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("chunk_id", F.lit("clash"))
+    got = {(r.doc_id, r.chunk_id): r.text for r in segments.chunks(d, 100, 30).collect()}
+    assert (30, 0) not in got and (31, 0) not in got and got[32, 0] == "y" * 100 == got[32, 1]
+    for i, t in enumerate(texts[:30]):
+        at = list(segments.windows(t, 100, 30))
+        assert (at[0][0] == 0 and at[-1][1] == len(t)) if t else not at
+        for (s, e), (s2, _) in zip(at, at[1:]):
+            assert s2 == max(s + 1, e - 30) and e - s <= 100
+            assert t[e] in " \n" and not set(t[e + 1 : s + 101]) & {" ", "\n"} if set(t[s + 1 : s + 101]) & {" ", "\n"} else e - s == 100
+        kept = [t[s:e].strip() for s, e in at if len(t[s:e].strip()) >= segments.CHUNK]
+        assert kept == [got[i, k] for k in range(len(kept))] and (i, len(kept)) not in got
 
 
 def test_segments(spark):

@@ -2,7 +2,7 @@ import datetime as dt
 from dataclasses import replace
 from types import SimpleNamespace
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from skein.functions import hooks

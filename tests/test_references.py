@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 
 from skein.operators.references import broken_references, orphan_report, orphan_rows
 

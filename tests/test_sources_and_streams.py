@@ -3,7 +3,7 @@ import os
 import zipfile
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from skein.sources import books
 from skein.streaming import ingest
