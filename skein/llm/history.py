@@ -1,28 +1,35 @@
 """Deduplicating new batches against all history.
 
-An index of what was accepted lies in two bucketed tables in the shared folder:
-``keys`` (band key, id), hash-bucketed by band key, and ``accepted`` (id,
-batch_no, text), hash-bucketed by id.  A batch is reduced to distinct texts,
-its minwise band keys are shuffled to the buckets of ``keys`` while the history
-stays where it lies, and only pairs that share a key are verified.  Texts that
-repeat nothing are accepted: their keys are appended.  Nothing of the history is
+An index of what was accepted lies in a folder of its own and outlives the
+session: ``keys`` (key, ref, sign), hash-bucketed by key, and ``accepted`` (ref,
+id, batch_no, text), hash-bucketed by ref.  A batch is reduced to distinct texts,
+and its keys are sent to the buckets of ``keys`` while the history stays where it
+lies; a batch with fewer keys than there are buckets opens only the buckets of its
+keys.  Pairs that share a key are compared by their signatures first, and only
+those that may be alike by their texts.  Texts that repeat nothing are accepted:
+their keys and texts are added as new files, and nothing of the history is
 hashed, shuffled or rewritten again.
 
-Features for the minwise hashes are the words of a text that are not common,
-plus every number with the word after it.  Common words (at least one text in a
-thousand) are counted over the whole first batch and kept with the index: the
-words of a turn of phrase would otherwise make all texts of one wording
-candidates of each other.  Texts with hardly any other word use all words.  As
-a retelling may have more words left than its first telling, every text is also
-signed by exact keys that do not turn on their number: its numbers with a
-counted thing, alone and with each name that is a common word; texts that count
-nothing are signed by all their words besides.
-Reworded texts may share no sequence of five words, so the sets are of words and
-not of shingles, and the verdict is on people, places, numbers and things.
+A batch becomes visible by one marker file, written last; what a lost or killed
+job leaves behind without a marker is never read.  ``compact`` merges the files of
+many batches, into more buckets if the history has grown.
+
+Two tellings of one event have the same numbers and count the same thing, so a key
+is made of a text's numbers, the first or last two letters of a counted thing (a
+slip spoils only one of them in all but the shortest words) and one minwise hash of
+the words that may be names.  At the least similarity that is accepted, 0.5, two
+texts share one of 12 such keys with a probability of 0.9998.  Texts that count
+nothing have bands of three minwise hashes over all their words.  The signature is
+a bitmap of the words that may be names.  Which words may not be, the usual ones,
+is counted over the whole first batch and kept with the index.  Reworded texts may
+share no sequence of five words, so the sets are of words and not of shingles, and
+the verdict is on people, places, numbers and things.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +39,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.session import discard, new_path, stage
+from skein.session import new_path, remove, stage
 
-BANDS, ROWS = 16, 3
+#: Keys of a text that counts things, of one that does not, and minwise hashes in a key of the latter.
+KEYS, WHOLE_KEYS, WHOLE_ROWS = 12, 24, 3
+#: Counted things that keys are made of: those with the least hashes of their numbers.
+THINGS = 4
+#: Least similarity of two signatures; texts that are told alike have 0.5 or more but for slips.
+LEAST_SIGN = 0.3
+#: Keys of the first batch for each bucket, and the least and most buckets.
+BUCKET_KEYS, LEAST_BUCKETS, MOST_BUCKETS = 200_000, 8, 4_096
 #: A word is common if it is in this share of the first batch's texts, and in so many.
 COMMON_SHARE, COMMON_TEXTS = 0.001, 30
 #: Words two tellings must have in common, of all words of both.
@@ -45,8 +59,9 @@ _COUNTED = regex.compile(r"(\p{N}+)\s+(\p{L}+)")
 _HEAD = regex.compile(r"(?:^|[.!?:(“\"„«]\s*)(\p{Lu}\p{L}*)(?=\s*[:,)–-]|\s+\p{Ll}|\s+\p{N})")
 _SOFT = regex.compile(r"\p{Cf}+")
 _rng = np.random.default_rng(20)
-_MUL = (_rng.integers(1, 2**62, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_MUL = (_rng.integers(1, 2**62, WHOLE_KEYS * WHOLE_ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = _rng.integers(0, 2**63, WHOLE_KEYS * WHOLE_ROWS, dtype=np.uint64)
+_SHIFT, _GOLD = np.uint64(29), np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain(text: str) -> str:
@@ -54,66 +69,68 @@ def plain(text: str) -> str:
     return text if text.isascii() else _SOFT.sub("", text)
 
 
-def features(text: str, common: frozenset[str]) -> set[str]:
-    """Telling words of a text, and its numbers with the word after each."""
-    low = plain(text).lower()
-    found = _WORD.findall(low)
-    telling = {w for w in found if w not in common and not w.isdigit()} | {f"{n} {w}" for n, w in _COUNTED.findall(low)}
-    return telling if len(telling) >= 3 else set(found)
-
-
-def band_keys(texts: list[str], common: frozenset[str]) -> np.ndarray:
-    """One row of band keys per text; a text without words gets zeros."""
-    sets = [features(t, common) for t in texts]
-    sizes = np.array([len(s) for s in sets])
-    out = np.zeros((len(texts), BANDS), dtype=np.uint64)
-    has = sizes > 0
-    if not has.any():
-        return out.view(np.int64)
-    flat = np.array([xxhash.xxh3_64_intdigest(w) for s in sets for w in s], dtype=np.uint64)
-    starts = np.concatenate([[0], np.cumsum(sizes[has])[:-1]])
-    shift = np.uint64(29)
-    for b in range(BANDS):
-        key = np.full(int(has.sum()), b + 1, dtype=np.uint64)
-        for j in range(b * ROWS, b * ROWS + ROWS):
-            h = flat * _MUL[j] + _ADD[j]
-            h = (h ^ (h >> shift)) * _MUL[j - 1]
-            low = np.minimum.reduceat(h ^ (h >> shift), starts)
-            key = (key ^ low) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> shift
-        out[has, b] = key
-    return out.view(np.int64)
-
-
-def exact_keys(text: str, hot: frozenset[str]) -> set[str]:
-    """All numbers of a text with a counted thing, and these with each of its ``hot`` words.
-
-    Beside a hot word stand the first and the last two letters of the thing, as a
-    slip spoils only one of them in all but the shortest words.
-    """
-    low = plain(text).lower()
-    found = set(_WORD.findall(low))
-    numbers = " ".join(sorted(w for w in found if w.isdigit()))
-    things = {t for _, t in _COUNTED.findall(low)}
-    keys = {f"{numbers}={t}" for t in things}
-    for t in things:
-        for w in (found & hot) - {t}:
-            keys |= {f"{numbers}|{t[:2]}|{w}", f"{numbers}~{t[-2:]}~{w}"}
-    return keys
-
-
-def signatures(texts: list[str], common: frozenset[str], usual: frozenset[str]) -> list[np.ndarray]:
-    """Band keys and exact keys of each text; two tellings of one event share one."""
-    out = list(band_keys(texts, common))
-    bare = [i for i, t in enumerate(texts) if not _COUNTED.search(plain(t))]
-    whole = dict(zip(bare, band_keys([texts[i] for i in bare], frozenset())))
-    hot = common - usual
-    for i, t in enumerate(texts):
-        own = np.array([xxhash.xxh3_64_intdigest(k) for k in exact_keys(t, hot)], dtype=np.uint64).view(np.int64)
-        out[i] = np.unique(np.concatenate([out[i], whole.get(i, own), own]))
+def _digest(words) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], dtype=np.uint64)
+
+
+def minwise(sets: list[np.ndarray], hashes: int) -> np.ndarray:
+    """``hashes`` minwise hashes of each set of hashed words; sets are not empty."""
+    flat = np.concatenate(sets)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    out = np.empty((len(sets), hashes), dtype=np.uint64)
+    for j in range(hashes):
+        h = flat * _MUL[j] + _ADD[j]
+        h = (h ^ (h >> _SHIFT)) * _MUL[j - 1]
+        out[:, j] = np.minimum.reduceat(h ^ (h >> _SHIFT), starts)
     return out
 
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    k = (a ^ b) * _GOLD
+    return k ^ (k >> _SHIFT)
+
+
+def signatures(texts: list[str], usual: frozenset[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(keys of each text, signature of each text); a text without words has no key."""
+    keys: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(texts)
+    signs = np.zeros(len(texts), dtype=np.uint64)
+    told, names, heads, bare, whole, numbers = [], [], [], [], [], []
+    for i, t in enumerate(texts):
+        low = plain(t).lower()
+        found = set(_WORD.findall(low))
+        if not found:
+            continue
+        counted = _COUNTED.findall(low)
+        digits = {w for w in found if w.isdigit()}
+        things = {t for _, t in counted}
+        telling = [w for w in found if w not in usual and w not in digits and w not in things] or sorted(found)
+        h = _digest(telling)
+        signs[i] = np.bitwise_or.reduce(np.uint64(1) << (h % np.uint64(64)))
+        said = " ".join(sorted(digits))
+        if counted:
+            kept = sorted(dict(counted).items(), key=lambda c: xxhash.xxh3_64_intdigest(c[0]))[:THINGS]
+            told.append(i)
+            names.append(h)
+            heads.append(_digest([x for _, t in kept for x in (f"{said}|{t[:2]}", f"{said}~{t[-2:]}")]))
+        else:
+            bare.append(i)
+            whole.append(_digest(found))
+            numbers.append(xxhash.xxh3_64_intdigest(said))
+    if told:
+        turns = np.arange(KEYS, dtype=np.uint64)
+        for i, head, row in zip(told, heads, _mix(minwise(names, KEYS), turns * _GOLD)):
+            pairs = head.reshape(-1, 2)[:, np.arange(KEYS) % 2]  # first and last letters by turns
+            keys[i] = np.unique(_mix(pairs, row)).view(np.int64)
+    if bare:
+        m = minwise(whole, WHOLE_KEYS * WHOLE_ROWS)
+        rows = np.repeat(np.array(numbers, dtype=np.uint64)[:, None], WHOLE_KEYS, axis=1) ^ np.arange(WHOLE_KEYS, dtype=np.uint64)
+        for r in range(WHOLE_ROWS):
+            rows = _mix(rows, m[:, r::WHOLE_ROWS])
+        for i, row in zip(bare, rows):
+            keys[i] = np.unique(row).view(np.int64)
+    return keys, signs.view(np.int64)
+
+
 def near(a: str, b: str) -> bool:
     """Equal but for one typing slip: a change, an extra letter, a swap."""
     if a == b:
@@ -187,25 +204,49 @@ def same_event(a: str, b: str, usual: frozenset[str] = frozenset()) -> bool:
 class EventHistory:
     """The persistent index of accepted records; ``ingest`` takes one batch.
 
-    Batches must come in ascending order of ``batch_no``.  Columns read: ``id``,
-    ``batch_no``, ``text``; others are ignored.  Rows with null id and rows
-    whose text has no word take no part.
+    ``path`` names its folder: an index that lies there is opened again, with its
+    usual words and buckets; without a path it lives in the shared folder of the
+    application.  One writer at a time.  Batches must come in ascending order of
+    ``batch_no``.  Columns read: ``id``, ``batch_no``, ``text``; others are
+    ignored.  Rows with null id and rows whose text has no word take no part.
     """
 
+    TABLES = {"keys": ("key", "key BIGINT, ref BIGINT, sign BIGINT"), "accepted": ("ref", "ref BIGINT, id STRING, batch_no INT, text STRING")}
+
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None) -> None:
         self.spark = spark
-        self.path = path or new_path(spark, "history")
-        self.buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        tag = self.path.rsplit("/", 1)[-1].replace("-", "_")
-        self.keys, self.accepted = f"keys_{tag}", f"accepted_{tag}"
-        self.started = False
+        self.path = (path or new_path(spark, "history")).rstrip("/")
+        self.buckets, self.generation = buckets, 0
         self._shared = None
-
-    def _learn(self, texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-        """(common, usual) words of the first batch.
-
-        Both hold at most words-per-text / ``COMMON_SHARE`` words.  Usual are
-        common words that texts with capitals mostly write in small letters.
+        self._parts = self._committed()
+        if self._parts:
+            self._share()
+
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _committed(self) -> list[str]:
+        """The visible parts, by markers <generation>-<buckets>-<part>; the last generation counts."""
+        path, fs = self._fs()
+        names = sorted(f.getPath().getName().split("-") for f in fs.listStatus(path)) if fs.exists(path) else []
+        if names:
+            self.generation, self.buckets = int(names[-1][0]), int(names[-1][1])
+        return [n[2] for n in names if int(n[0]) == self.generation]
+
+    def _commit(self, part: str) -> None:
+        path, fs = self._fs()
+        fs.create(path.suffix(f"/{self.generation:06d}-{self.buckets}-{part}"), False).close()
+        self._parts = self._committed()
+
+    def _share(self) -> None:
+        rows = self.spark.read.parquet(f"{self.path}/usual").collect()
+        self._shared = self.spark.sparkContext.broadcast(frozenset(r[0] for r in rows))
+
+    def _learn(self, texts: DataFrame) -> None:
+        """Write the usual words of the first batch, at most words-per-text / ``COMMON_SHARE``.
+
+        Usual are common words that texts with capitals mostly write in small letters.
         """
         total = texts.count()
         least = max(COMMON_TEXTS, int(COMMON_SHARE * total))
@@ -213,13 +254,39 @@ class EventHistory:
         counts = words.groupBy(F.lower("w").alias("word")).agg(
             F.count("*").alias("n"), F.count_if(F.col("mixed")).alias("cased"), F.count_if(F.col("mixed") & (F.col("w") == F.lower("w"))).alias("small")
         )
-        kept = counts.filter(F.col("n") >= least).select("word", (F.col("small") * 2 >= F.col("cased")).alias("usual"))
-        rows = kept.collect()
-        kept.sparkSession.createDataFrame(rows, "word string, usual boolean").write.mode("overwrite").parquet(f"{self.path}/common")
-        return frozenset(r[0] for r in rows), frozenset(r[0] for r in rows if r[1])
-
-    def _append(self, df: DataFrame, name: str, column: str) -> None:
-        df.repartition(self.buckets, column).write.bucketBy(self.buckets, column).option("path", f"{self.path}/{name}").mode("append").format("parquet").saveAsTable(name)
+        kept = counts.filter((F.col("n") >= least) & (F.col("small") * 2 >= F.col("cased"))).select("word")
+        kept.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/usual")
+        if not self.buckets:
+            self.buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total * KEYS // BUCKET_KEYS))
+
+    def _table(self, name: str) -> str:
+        """The table of this generation, known to the session's catalog by its folder."""
+        where = f"{self.path}/{self.generation:06d}/{name}"
+        table = f"skein_{name}_{hashlib.md5(where.encode()).hexdigest()}"
+        column, schema = self.TABLES[name]
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({schema}, part STRING) USING parquet PARTITIONED BY (part) CLUSTERED BY ({column}) SORTED BY ({column}) INTO {self.buckets} BUCKETS LOCATION '{where}'")
+        if self.spark.conf.get("spark.sql.catalogImplementation", "in-memory") == "hive":
+            self.spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+        self.spark.catalog.refreshTable(table)
+        return table
+
+    def _append(self, df: DataFrame, name: str, part: str) -> None:
+        column, table = self.TABLES[name][0], self._table(name)
+        rows = df.withColumn("part", F.lit(part)).repartition(self.buckets, column)
+        rows.write.mode("append").format("parquet").partitionBy("part").bucketBy(self.buckets, column).sortBy(column).option("path", f"{self.path}/{self.generation:06d}/{name}").saveAsTable(table)
+
+    def _visible(self, name: str, wanted: DataFrame | None = None) -> DataFrame:
+        """The visible rows; of a few ``wanted`` values only, where their buckets are not all.
+
+        As many values as buckets open every bucket anyway, so no more are looked at.
+        """
+        column = self.TABLES[name][0]
+        rows = self.spark.table(self._table(name)).filter(F.col("part").isin(self._parts)).drop("part")
+        if wanted is not None:
+            few = [r[0] for r in wanted.select(column).distinct().limit(self.buckets).collect()]
+            if len(few) < self.buckets:
+                rows = rows.filter(F.col(column).isin(few))
+        return rows
 
     def ingest(self, batch: DataFrame) -> DataFrame:
         """Add a batch; returns (id, first_id) of its rows that repeat history.
@@ -232,73 +299,87 @@ class EventHistory:
         texts = rows.groupBy("copy").agg(F.min(F.struct("id", "batch_no", "text")).alias("r")).select("copy", "r.*")
         if self._shared is None:
             texts = stage(texts, "texts")
-            self._shared = self.spark.sparkContext.broadcast(self._learn(texts))
+            self._learn(texts)
+            self._share()
         shared = self._shared
 
         def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                b["bands"] = signatures(b["text"].tolist(), *shared.value)
+                b["keys"], b["sign"] = signatures(b["text"].tolist(), shared.value)
                 yield b
 
-        signed = stage(texts.mapInPandas(sign, "copy string, id string, batch_no int, text string, bands array<long>"), "signed")
-        fresh = signed
-        found = None
-        if self.started:
+        signed = texts.mapInPandas(sign, "copy string, id string, batch_no int, text string, keys array<long>, sign long")
+        signed = stage(signed.withColumn("ref", F.xxhash64("id")), "signed")
+        fresh, found = signed, None
+        if self._parts:
             found = stage(self._matches(signed), "found")
-            fresh = signed.join(found.select("id"), "id", "left_anti")
-        self._append(fresh.select(F.explode("bands").alias("key"), "id"), self.keys, "key")
-        self._append(fresh.select("id", "batch_no", "text"), self.accepted, "id")
-        self.started = True
+            fresh = signed.join(found.select("ref"), "ref", "left_anti")
+        part = uuid.uuid4().hex
+        self._append(fresh.select(F.explode("keys").alias("key"), "ref", "sign"), "keys", part)
+        self._append(fresh.select("ref", "id", "batch_no", "text"), "accepted", part)
+        self._commit(part)
         if found is None:
-            discard(signed)
             return self.spark.createDataFrame([], "id string, first_id string")
-        first = signed.join(found, "id").select("copy", "first_id")
-        out = stage(rows.select("id", "copy").join(first, "copy").select("id", "first_id").distinct(), "repeats")
-        discard(signed)
-        discard(found)
-        return out
+        return rows.select("id", "copy").join(found.select("copy", "first_id"), "copy").select("id", "first_id").distinct()
 
     def _matches(self, signed: DataFrame) -> DataFrame:
+        """(copy, ref, first_id) of the signed texts that tell again what was accepted.
+
+        ``ref`` is a hash of the id: texts of two ids with one hash are both compared.
+        """
         shared = self._shared
-        probe = signed.select(F.explode("bands").alias("key"), F.col("id").alias("new_id"))
-        pairs = self.spark.table(self.keys).join(probe.hint("shuffle_hash"), "key").select("new_id", "id").distinct()
-        old = self.spark.table(self.accepted).withColumnRenamed("text", "old_text")
-        new = signed.select(F.col("id").alias("new_id"), "text")
-        both = pairs.join(new, "new_id").join(old, "id")
+        probe = signed.select(F.explode("keys").alias("key"), F.col("ref").alias("new_ref"), F.col("sign").alias("new_sign"))
+        both, either = F.col("sign").bitwiseAND(F.col("new_sign")), F.col("sign").bitwiseOR(F.col("new_sign"))
+        met = self._visible("keys", probe).join(probe, "key").filter(F.bit_count(both) >= LEAST_SIGN * F.bit_count(either))
+        pairs = stage(met.select("new_ref", "ref").distinct(), "pairs")
+        new = signed.select(F.col("ref").alias("new_ref"), "copy", F.col("text").alias("new_text"))
+        texts = self._visible("accepted", pairs).join(pairs, "ref").join(new, "new_ref")
 
         def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            usual = shared.value[1]
             for b in batches:
-                ok = [same_event(x, y, usual) for x, y in zip(b["text"], b["old_text"])]
-                yield b.loc[ok, ["new_id", "batch_no", "id"]]
-
-        same = both.mapInPandas(verify, "new_id string, batch_no int, id string")
-        first = same.groupBy("new_id").agg(F.min(F.struct("batch_no", "id")).alias("f"))
-        return first.select(F.col("new_id").alias("id"), F.col("f.id").alias("first_id"))
-
-    def close(self) -> None:
-        """Forget the table definitions; the files stay in the shared folder."""
-        for t in (self.keys, self.accepted):
-            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
-
-
-def repeated_events(events: DataFrame, buckets: int | None = None) -> DataFrame:
+                ok = [same_event(x, y, shared.value) for x, y in zip(b["new_text"], b["text"])]
+                yield b.loc[ok, ["copy", "new_ref", "batch_no", "id"]]
+
+        same = texts.mapInPandas(verify, "copy string, new_ref long, batch_no int, id string")
+        first = same.groupBy("copy", "new_ref").agg(F.min(F.struct("batch_no", "id")).alias("f"))
+        return first.select("copy", F.col("new_ref").alias("ref"), F.col("f.id").alias("first_id"))
+
+    def compact(self, buckets: int | None = None) -> None:
+        """Merge all parts into a new generation, with other buckets if wanted; the old one goes last."""
+        if not self._parts:
+            return
+        old, markers = self.generation, [f"commits/{self.generation:06d}-{self.buckets}-{p}" for p in self._parts]
+        tables = [self._table(name) for name in self.TABLES]
+        rows = [self._visible(name) for name in self.TABLES]
+        self.generation, self.buckets = old + 1, buckets or self.buckets
+        part = uuid.uuid4().hex
+        for name, df in zip(self.TABLES, rows):
+            self._append(df, name, part)
+        self._commit(part)
+        for t in tables:
+            self.spark.sql(f"DROP TABLE {t}")
+        for where in (*markers, f"{old:06d}"):
+            remove(self.spark, f"{self.path}/{where}")
+
+
+def repeated_events(events: DataFrame, buckets: int | None = None, path: str | None = None) -> DataFrame:
     """(event_id_a, event_id_b): events that repeat one accepted in an earlier batch.
 
     ``events``: id, summary, batch_no.  Runs the batches through a history in
-    order.  Rows delivered twice count once, in their earliest batch; a null
-    batch counts as 0; blank and null summaries are no case.  Titles often name
-    another subject and decide nothing.  Smaller id first.
+    order, a persistent one if ``path`` is given.  Rows delivered twice count once,
+    in their earliest batch; a null batch counts as 0; blank and null summaries are
+    no case.  Titles often name another subject and decide nothing.  Smaller id
+    first.
     """
     spark = events.sparkSession
     slim = (
         events.filter("id is not null").select("id", F.coalesce("batch_no", F.lit(0)).cast("int").alias("batch_no"), F.col("summary").alias("text"))
         .groupBy("id").agg(F.min(F.struct("batch_no", "text")).alias("r")).select("id", "r.*")
     )
-    path = new_path(spark, "batches")
-    slim.repartition("batch_no", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("batch_no").parquet(path)
-    staged = spark.read.schema("id string, text string, batch_no int").parquet(path)
-    history = EventHistory(spark, buckets=buckets)
+    at = new_path(spark, "batches")
+    slim.repartition("batch_no", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("batch_no").parquet(at)
+    staged = spark.read.schema("id string, text string, batch_no int").parquet(at)
+    history = EventHistory(spark, path, buckets)
     out = spark.createDataFrame([], "id string, first_id string")
     for (no,) in sorted(staged.select("batch_no").distinct().collect()):
         out = out.unionByName(history.ingest(staged.filter(F.col("batch_no") == no)))

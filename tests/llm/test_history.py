@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm.history import EventHistory, band_keys, features, repeated_events, same_event, signatures
+from skein.llm.history import EventHistory, repeated_events, same_event, signatures
 
 EV = "id string, title string, summary string, document_id bigint, batch_no int"
 
@@ -26,10 +26,10 @@ def test_same_event(a, b, want):
 
 
 def test_keys_are_stable_and_depend_on_the_set():
-    k = band_keys(["a b c 5 d", "d c b a 5 d", "", "quite other words"], frozenset())
-    assert k.shape[0] == 4 and not k[2].any() and not (set(k[0]) & set(k[3]))
-    assert features("The 5 of Ann", frozenset({"the", "of"})) == {"the", "5", "of", "ann"}
-    assert features("The 5 carts of Ann Lee", frozenset({"the", "of"})) == {"5 carts", "carts", "ann", "lee"}
+    k, s = signatures(["a b c 5 d", "d c b a 5 d", "", "quite other words", "words other quite"], frozenset())
+    assert set(k[0]) == set(k[1]) and s[0] == s[1] and not len(k[2]) and not set(k[0]) & set(k[3]) and set(k[3]) == set(k[4])
+    long = " ".join(f"{i} carts{i}" for i in range(20_000))
+    assert len(signatures([long], frozenset())[0][0]) <= 4 * 12
 
 
 NAMES = [f"{a}{b} {c}{d}" for a in ("Ar", "Be", "Co") for b in ("la", "mi", "no") for c in ("Sto", "Tri") for d in ("ven", "mar")]
@@ -90,22 +90,61 @@ def test_history_is_kept_between_batches(spark):
     assert h.ingest(make([("a", 0, "Ann Lee sold 12 carts.")])).count() == 0
     assert [tuple(r) for r in h.ingest(make([("b", 1, "12 carts sold Ann Lee"), ("n", 1, "Bob Ray kept 3 maps.")])).collect()] == [("b", "a")]
     assert [tuple(r) for r in h.ingest(make([("c", 2, "Bob Ray kept 3 maps")])).collect()] == [("c", "n")]
-    h.close()
+
+
+def test_sessions_on_one_path_equal_one(spark, tmp_path):
+    """A history opened again knows its common words, buckets and texts, also after merging."""
+    rnd = random.Random(3)
+    told, batches = [], []
+    for no in range(4):
+        rows = []
+        for i in range(80):
+            t = rnd.choice(told) if told and rnd.random() < 0.4 else telling(rnd)
+            told.append(t)
+            rows.append((f"b{no}_{i:03}", no, say(t, rnd.randrange(3))))
+        batches.append(rows)
+    make = lambda rows: spark.createDataFrame(rows, "id string, batch_no int, text string")
+    one = EventHistory(spark, buckets=5)
+    want = [sorted(map(tuple, one.ingest(make(b)).collect())) for b in batches]
+    assert sum(map(len, want)) > 60
+    path = str(tmp_path / "index")
+    for k, b in enumerate(batches):
+        h = EventHistory(spark, path, buckets=5)
+        assert sorted(map(tuple, h.ingest(make(b)).collect())) == want[k]
+        if k == 1:
+            h.compact(7)
+        # what a killed job left behind without a marker is not read
+        make(batches[-1]).select(F.xxhash64("id").alias("ref"), "id", "batch_no", "text").write.mode("overwrite").parquet(f"{path}/{h.generation:06d}/accepted/part=lost")
+    assert h.buckets == 7 and len(EventHistory(spark, path)._parts) == 3 and EventHistory(spark, path)._visible("accepted").count() == one._visible("accepted").count()
+
+
+def test_a_small_batch_opens_few_buckets(spark, tmp_path):
+    h = EventHistory(spark, str(tmp_path / "index"), buckets=64)
+    make = lambda rows: spark.createDataFrame(rows, "id string, batch_no int, text string")
+    h.ingest(make([(f"a{i:04}", 0, f"Ann{i} Lee{i % 50} sold {i} carts.") for i in range(600)]))
+    probe = spark.createDataFrame([(1,), (2,), (3,)], "key long")
+    told = lambda df: spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    plan = told(h._visible("keys", probe))
+    assert h._visible("keys").count() >= 600 * 12 and any(f"SelectedBucketsCount: {k} out of 64" in plan for k in (1, 2, 3))
+    joined = told(h._visible("keys").hint("merge").join(probe, "key"))
+    assert joined.count("Arguments: hashpartitioning") == 1  # the history stays where it lies
+    assert [tuple(r) for r in h.ingest(make([("b", 1, "3 carts sold Ann3 Lee3")])).collect()] == [("b", "a0003")]
+
 
 
 @pytest.mark.parametrize(
-    "a, b, common, usual",
+    "a, b, usual",
     [
-        ("At Old Ford Ann Lee lost 79 letters to Bob Ray.", "As said before: At Old Ford Ann Lee lost 79 letters to Bob Ray.", "at old ford ann lee lost to bob ray letters", "at lost to letters"),
-        ("Ann Lee sent 8 sentries to Bob Ray.", "Ann Lee sent 8 sentires to Bob Ray, so it was said.", "ann lee sent sentries to bob ray", "sent sentries to"),
-        ("They moved 12 carts by night.", "They moved 12 carts by night, or so Zubi Wem says.", "they moved carts by night", "they moved carts by night"),
-        ("Ann Lee left Old Mill by night and told Bob Ray.", "Ann Lee left Old Mill by night and told Bob Ray, without one word.", "ann lee left old mill by night and told bob ray", "left by night and told"),
+        ("At Old Ford Ann Lee lost 79 letters to Bob Ray.", "As said before: At Old Ford Ann Lee lost 79 letters to Bob Ray.", "at lost to letters"),
+        ("Ann Lee sent 8 sentries to Bob Ray.", "Ann Lee sent 8 sentires to Bob Ray, so it was said.", "sent sentries to"),
+        ("They moved 12 carts by night.", "They moved 12 carts by night, or so Zubi Wem says.", "they moved carts by night"),
+        ("Ann Lee left Old Mill by night and told Bob Ray.", "Ann Lee left Old Mill by night and told Bob Ray, without one word.", "left by night and told"),
     ],
 )
-def test_added_words_do_not_part_two_tellings(a, b, common, usual):
-    common, usual = frozenset(common.split()), frozenset(usual.split())
+def test_added_words_do_not_part_two_tellings(a, b, usual):
+    usual = frozenset(usual.split())
     assert same_event(a, b, usual)
-    x, y = signatures([a, b], common, usual)
+    x, y = signatures([a, b], usual)[0]
     assert set(x.tolist()) & set(y.tolist())
 
 
@@ -117,5 +156,4 @@ def test_added_words_in_a_later_batch(spark):
     make = lambda rows: spark.createDataFrame(rows, "id string, batch_no int, text string")
     h.ingest(make(first))
     got = {(r.id, r.first_id) for r in h.ingest(make(later)).collect()}
-    h.close()
     assert got == {(f"b{i:03}", f"a{i:03}") for i in range(40)}
