@@ -108,7 +108,7 @@ def signatures(texts: list[str], usual: frozenset[str]) -> tuple[list[np.ndarray
         signs[i] = np.bitwise_or.reduce(np.uint64(1) << (h % np.uint64(64)))
         said = " ".join(sorted(digits))
         if counted:
-            kept = sorted(dict(counted).items(), key=lambda c: xxhash.xxh3_64_intdigest(c[0]))[:THINGS]
+            kept = sorted(set(counted), key=lambda c: (xxhash.xxh3_64_intdigest(c[0]), c[1]))[:THINGS]
             told.append(i)
             names.append(h)
             heads.append(_digest([x for _, t in kept for x in (f"{said}|{t[:2]}", f"{said}~{t[-2:]}")]))
