@@ -18,8 +18,10 @@ Two tellings of one event have the same numbers and count the same thing, so a k
 is made of a text's numbers, the first or last two letters of a counted thing (a
 slip spoils only one of them in all but the shortest words) and one minwise hash of
 the words that may be names.  At the least similarity that is accepted, 0.5, two
-texts share one of 12 such keys with a probability of 0.9998.  Texts that count
-nothing have bands of three minwise hashes over all their words.  The signature is
+texts share one of 12 such keys with a probability of 0.9998.  A text without any
+such word meets all texts of its numbers and things: it asks for a key that every
+text keeps and keeps one that every text asks for.  Texts that count nothing have
+bands of three minwise hashes over all their words.  The signature is
 a bitmap of the words that may be names.  Which words may not be, the usual ones,
 is counted over the whole first batch and kept with the index.  Reworded texts may
 share no sequence of five words, so the sets are of words and not of shingles, and
@@ -90,9 +92,14 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return k ^ (k >> _SHIFT)
 
 
-def signatures(texts: list[str], usual: frozenset[str]) -> tuple[list[np.ndarray], np.ndarray]:
-    """(keys of each text, signature of each text); a text without words has no key."""
+def signatures(texts: list[str], usual: frozenset[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """(keys kept, keys asked for, signature) of each text.
+
+    A text without words has no key; one without words that may be names has the
+    signature 0, which is like any.
+    """
     keys: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(texts)
+    asked = list(keys)
     signs = np.zeros(len(texts), dtype=np.uint64)
     told, names, heads, bare, whole, numbers = [], [], [], [], [], []
     for i, t in enumerate(texts):
@@ -103,14 +110,14 @@ def signatures(texts: list[str], usual: frozenset[str]) -> tuple[list[np.ndarray
         counted = _COUNTED.findall(low)
         digits = {w for w in found if w.isdigit()}
         things = {t for _, t in counted}
-        telling = [w for w in found if w not in usual and w not in digits and w not in things] or sorted(found)
-        h = _digest(telling)
-        signs[i] = np.bitwise_or.reduce(np.uint64(1) << (h % np.uint64(64)))
+        h = _digest(w for w in found if w not in usual and w not in digits and w not in things)
+        if len(h):
+            signs[i] = np.bitwise_or.reduce(np.uint64(1) << (h % np.uint64(64)))
         said = " ".join(sorted(digits))
         if counted:
             kept = sorted(set(counted), key=lambda c: (xxhash.xxh3_64_intdigest(c[0]), c[1]))[:THINGS]
             told.append(i)
-            names.append(h)
+            names.append(h if len(h) else np.zeros(1, dtype=np.uint64))
             heads.append(_digest([x for _, t in kept for x in (f"{said}|{t[:2]}", f"{said}~{t[-2:]}")]))
         else:
             bare.append(i)
@@ -120,15 +127,17 @@ def signatures(texts: list[str], usual: frozenset[str]) -> tuple[list[np.ndarray
         turns = np.arange(KEYS, dtype=np.uint64)
         for i, head, row in zip(told, heads, _mix(minwise(names, KEYS), turns * _GOLD)):
             pairs = head.reshape(-1, 2)[:, np.arange(KEYS) % 2]  # first and last letters by turns
-            keys[i] = np.unique(_mix(pairs, row)).view(np.int64)
+            own, every, none = _mix(pairs, row).ravel() if signs[i] else head[:0], _mix(head, _GOLD), _mix(head, ~_GOLD)
+            keys[i] = np.unique(np.concatenate([own, every] if signs[i] else [every, none])).view(np.int64)
+            asked[i] = np.unique(np.concatenate([own, none] if signs[i] else [every, none])).view(np.int64)
     if bare:
         m = minwise(whole, WHOLE_KEYS * WHOLE_ROWS)
         rows = np.repeat(np.array(numbers, dtype=np.uint64)[:, None], WHOLE_KEYS, axis=1) ^ np.arange(WHOLE_KEYS, dtype=np.uint64)
         for r in range(WHOLE_ROWS):
             rows = _mix(rows, m[:, r::WHOLE_ROWS])
         for i, row in zip(bare, rows):
-            keys[i] = np.unique(row).view(np.int64)
-    return keys, signs.view(np.int64)
+            keys[i] = asked[i] = np.unique(row).view(np.int64)
+    return keys, asked, signs.view(np.int64)
 
 
 def near(a: str, b: str) -> bool:
@@ -305,10 +314,10 @@ class EventHistory:
 
         def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                b["keys"], b["sign"] = signatures(b["text"].tolist(), shared.value)
+                b["keys"], b["asked"], b["sign"] = signatures(b["text"].tolist(), shared.value)
                 yield b
 
-        signed = texts.mapInPandas(sign, "copy string, id string, batch_no int, text string, keys array<long>, sign long")
+        signed = texts.mapInPandas(sign, "copy string, id string, batch_no int, text string, keys array<long>, asked array<long>, sign long")
         signed = stage(signed.withColumn("ref", F.xxhash64("id")), "signed")
         fresh, found = signed, None
         if self._parts:
@@ -328,9 +337,10 @@ class EventHistory:
         ``ref`` is a hash of the id: texts of two ids with one hash are both compared.
         """
         shared = self._shared
-        probe = signed.select(F.explode("keys").alias("key"), F.col("ref").alias("new_ref"), F.col("sign").alias("new_sign"))
+        probe = signed.select(F.explode("asked").alias("key"), F.col("ref").alias("new_ref"), F.col("sign").alias("new_sign"))
         both, either = F.col("sign").bitwiseAND(F.col("new_sign")), F.col("sign").bitwiseOR(F.col("new_sign"))
-        met = self._visible("keys", probe).join(probe, "key").filter(F.bit_count(both) >= LEAST_SIGN * F.bit_count(either))
+        alike = (F.col("sign") == 0) | (F.col("new_sign") == 0) | (F.bit_count(both) >= LEAST_SIGN * F.bit_count(either))
+        met = self._visible("keys", probe).join(probe, "key").filter(alike)
         pairs = stage(met.select("new_ref", "ref").distinct(), "pairs")
         new = signed.select(F.col("ref").alias("new_ref"), "copy", F.col("text").alias("new_text"))
         texts = self._visible("accepted", pairs).join(pairs, "ref").join(new, "new_ref")
