@@ -95,10 +95,7 @@ BATCH_BYTES = 16 << 20
 
 def text_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound the bytes per Arrow batch of the session; rows per batch stay as they are."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(key, "-1"))
-    if now <= 0 or now > size:
-        spark.conf.set(key, str(size))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def estimated_bytes(df: DataFrame) -> int:
