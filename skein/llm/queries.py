@@ -48,6 +48,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target")).shares
 
 
+def p8_temperature(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture as large as all documents by pure temperature with the entropy of the targets."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"), tempered=True).shares
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.document_subjects(table(spark, d, "documents"), table(spark, d, "subject_label"))
 
@@ -91,7 +96,7 @@ def _windows(text: str, key: str, source: str) -> str:
 
 _LEAKS = f"leak AS (SELECT DISTINCT doc_id, item_id FROM ({_windows('text', 'doc_id', 'documents')}) JOIN ({_windows('passage', 'item_id', 'eval_item')}) USING (g))"
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_composition": p9_composition}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p4_golden": p4_golden, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_temperature": p8_temperature, "p9_found": p9_found, "p9_composition": p9_composition}
 ORACLE = {
     "p2_found": _GROUPS + "SELECT entity_id, group_id FROM grp",
     "p4_found": _GROUPS + f"""SELECT group_id, id AS survivor_id FROM (SELECT group_id, id, row_number() OVER (PARTITION BY group_id ORDER BY {_KEY}) AS r
