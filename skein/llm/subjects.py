@@ -8,8 +8,10 @@ A latent model learns from the counts of vote patterns how accurate each functio
 is (expectation maximisation over patterns, of which there are a few hundred at
 most) and gives every pattern a posterior probability.
 
-The documents are parsed once into sentences; each round is one pass that sends
-only counts per word and subject through a shuffle.
+The documents are parsed once into sentences and once into numbers of words, those
+words that are frequent enough to enter a lexicon.  Each round is one pass over the
+numbers, counted batch by batch with numpy, and sends only sums per word and
+subject through a shuffle; a lexicon is one byte per word.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import broadcast_if_small, stage, text_batches
+from skein.session import broadcast_if_small, discard, stage, text_batches
 
 #: Rounds that grow the lexicon, in which documents without a subject do not count,
 #: and rounds that clean it, in which they do.
@@ -34,7 +36,9 @@ GROWING, CLEANING = 3, 2
 #: A document deals with a subject in this share of its sentences, and in so many.
 SUBSTANTIAL, LEAST_SENTENCES = 0.2, 2
 #: A lexicon word: least documents (number, share of all), purity, lead over the next subject.
-#: The lexicon has at most (distinct words per document / LEAST_SHARE) words.
+#: So there are at most (distinct words per document / LEAST_SHARE) words to learn of; if
+#: they take more than VOCABULARY_BYTES, the share is doubled until they do not.
+VOCABULARY_BYTES = 64 << 20
 LEAST_DOCS, LEAST_SHARE, PURE, LEAD = 4, 1e-4, 0.55, 2.5
 #: The same of the first lexicon, which is learned from labels that may be wrong.
 FIRST_LEAST, FIRST_PURE, FIRST_LEAD = 2, 0.45, 2.0
@@ -45,7 +49,6 @@ _TAG = re.compile(r"<[^<>]*>")
 _SOFT = regex.compile(r"\p{Cf}+")
 _WORD = re.compile(r"[^\W\d_]+")
 _STOP = re.compile(r"(?<=[.!?»”…。])\s+")
-NONE = "\x00none"
 STEM = 5
 
 
@@ -88,104 +91,172 @@ def stem(word: str) -> str | None:
     return f"~{flat[:STEM]}" if len(flat) > STEM else None
 
 
-class Lookup(dict):
-    """Subject of a word (or of its stem) by a lexicon, remembered; None if it has none."""
-
-    def __init__(self, lexicon: dict[str, str]) -> None:
-        super().__init__()
-        self.lexicon = lexicon
+class Stems(dict):
+    """Stems of words, remembered."""
 
     def __missing__(self, word: str) -> str | None:
         if len(self) > 300_000:
             self.clear()
-        self[word] = found = self.lexicon.get(word) or self.lexicon.get(stem(word))
+        self[word] = found = stem(word)
         return found
 
 
-def tally(sections: list[list[str]], lookup: Lookup) -> tuple[int, Counter, Counter]:
-    """(sentences, sentences per subject, sections per subject) of a parsed text.
-
-    Sentences are blank-separated words.  A sentence counts for the subject with
-    most lexicon words in it, the first by name among equals.
-    """
-    total, per, where = 0, Counter(), Counter()
-    of = lookup.__getitem__
-    for section in sections:
-        here = set()
-        for s in section:
-            total += 1
-            votes = [x for x in map(of, s.split(" ")) if x]
-            if votes:
-                top = votes[0] if len(votes) == 1 else max(sorted(set(votes)), key=votes.count)
-                per[top] += 1
-                here.add(top)
-        where.update(here)
-    return total, per, where
-
-
-def active(total: int, per: Counter) -> list[str]:
-    return [s for s, n in per.items() if n >= LEAST_SENTENCES and n >= SUBSTANTIAL * total]
-
-
-def leading(per: Counter) -> list[str]:
-    """Subjects that lead in what a growing lexicon sees of a document."""
-    top = max(per.values(), default=0)
-    return [s for s, n in per.items() if n >= LEAST_SENTENCES and 2 * n >= top]
-
-
 def _parsed(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Documents as plain words: a blank between words, a line per sentence, a form feed between sections."""
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [sentences(t) for t in b["text"]]
-            b["sections"] = [[[" ".join(s) for s in sec] for sec in secs] for secs in made]
-            found = [{w for sec in secs for s in sec for w in s} for secs in made]
-            b["words"] = [sorted(ws | {k for w in ws if (k := stem(w))}) for ws in found]
-            yield b.drop(columns="text")
+            b["text"] = ["\f".join("\n".join(" ".join(x) for x in sec) for sec in sentences(t)) for t in b["text"]]
+            yield b
 
     slim = documents.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "work_id", F.lower(F.trim("source")).alias("source"), "text")
-    parsed = slim.mapInPandas(parse, "doc_id long, work_id long, source string, sections array<array<string>>, words array<string>")
+    parsed = slim.mapInPandas(parse, "doc_id long, work_id long, source string, text string")
     given = labels.filter("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("labels"))
     return stage(parsed.join(given, "doc_id", "left"), "parsed")
 
 
-def _learn(parsed: DataFrame, lexicon: dict[str, str] | None, n_docs: int, grow: bool) -> dict[str, str]:
+def _vocabulary(parsed: DataFrame, n_docs: int) -> list[str]:
+    """Words and stems in enough documents to enter a lexicon, in order."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stems, seen = Stems(), Counter()
+        for b in batches:
+            for t in b["text"]:
+                own = set(t.split())
+                seen.update(own)
+                seen.update({k for w in own if (k := stems[w])})
+            if len(seen) > 500_000:
+                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}).astype({"n": "int64"})
+                seen.clear()
+        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())}).astype({"word": str, "n": "int64"})
+
+    counts = parsed.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = stage(counts.filter(F.col("n") >= LEAST_DOCS), "words")
+    share = LEAST_SHARE
+    while True:
+        kept = counts.filter(F.col("n") >= max(LEAST_DOCS, int(share * n_docs)))
+        if (kept.agg(F.sum(F.octet_length("word") + 50)).first()[0] or 0) <= VOCABULARY_BYTES:
+            return sorted(r[0] for r in kept.select("word").collect())
+        share *= 2
+
+
+def _encoded(parsed: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """Documents as numbers: ``words`` and ``stems`` per token (the size of the vocabulary: none),
+    tokens per sentence, sections of sentences, and the distinct words and stems.
+    """
+    shared = parsed.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = {w: i for i, w in enumerate(shared.value)}
+        none = len(index)
+        stems = Stems()
+        known: dict[str, tuple[int, int]] = {}
+        for b in batches:
+            cols: dict[str, list] = {k: [] for k in ("words", "stems", "lengths", "sections", "own")}
+            for t in b["text"]:
+                lines = [(k, x.split(" ")) for k, sec in enumerate(t.split("\f")) for x in sec.split("\n")] if t else []
+                pairs, sizes = [], []
+                for _, found in lines:
+                    before = len(pairs)
+                    for w in found:
+                        got = known.get(w)
+                        if got is None:
+                            if len(known) > 300_000:
+                                known.clear()
+                            got = known[w] = (index.get(w, none), index.get(stems[w], none))
+                        if got != (none, none):
+                            pairs.append(got)
+                    sizes.append(len(pairs) - before)
+                at = np.array(pairs, dtype=np.int32).reshape(-1, 2)
+                cols["words"].append(at[:, 0])
+                cols["stems"].append(at[:, 1])
+                cols["lengths"].append(np.array(sizes, dtype=np.int32))
+                cols["sections"].append(np.array([k for k, _ in lines], dtype=np.int32))
+                own = np.unique(at)
+                cols["own"].append(own[own < none])
+            yield b.drop(columns="text").assign(**cols)
+
+    ints = ", ".join(f"{k} array<int>" for k in ("words", "stems", "lengths", "sections", "own"))
+    return stage(parsed.select("doc_id", "work_id", "source", "labels", "text").mapInPandas(encode, f"doc_id long, work_id long, source string, labels array<string>, {ints}"), "encoded")
+
+
+def _flat(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, values per row) of a column of arrays."""
+    sizes = np.fromiter((len(x) for x in column), dtype=np.int64, count=len(column))
+    return (np.concatenate(list(column)) if sizes.sum() else np.zeros(0, dtype=np.int32)).astype(np.int64), sizes
+
+
+def tally(b: pd.DataFrame, lexicon: np.ndarray, n_subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sentences, sentences per subject, sections per subject) of each encoded document.
+
+    ``lexicon``: subject of each word by number, -1 for none, and one -1 more.  A word
+    counts by itself or else by its stem.  A sentence counts for the subject with
+    most words in it, the first among equals.
+    """
+    words, _ = _flat(b["words"])
+    stems, _ = _flat(b["stems"])
+    lengths, per_doc = _flat(b["lengths"])
+    sections, _ = _flat(b["sections"])
+    n_docs, n = len(b), n_subjects
+    doc = np.repeat(np.arange(n_docs), per_doc)
+    subject = lexicon[words].astype(np.int64)
+    subject = np.where(subject < 0, lexicon[stems], subject)
+    sentence = np.repeat(np.arange(len(lengths)), lengths)
+    hit = subject >= 0
+    votes = np.bincount(sentence[hit] * n + subject[hit], minlength=len(lengths) * n).reshape(-1, n)
+    top = votes.argmax(axis=1) if len(votes) else np.zeros(0, dtype=np.int64)
+    some = votes.any(axis=1)
+    per = np.bincount(doc[some] * n + top[some], minlength=n_docs * n).reshape(n_docs, n)
+    wide = int(sections.max(initial=0)) + 1
+    marked = np.unique((doc[some] * wide + sections[some]) * n + top[some])
+    where = np.bincount(marked // (wide * n) * n + marked % n, minlength=n_docs * n).reshape(n_docs, n)
+    return per_doc, per, where
+
+
+def _given(column: pd.Series, subjects: dict[str, int]) -> np.ndarray:
+    """Which subjects each document is labelled with."""
+    out = np.zeros((len(column), len(subjects)), dtype=bool)
+    for i, own in enumerate(column):
+        if own is not None:
+            out[i, [subjects[s] for s in own]] = True
+    return out
+
+
+def _learn(encoded: DataFrame, lexicon: np.ndarray | None, subjects: list[str], size: int, n_docs: int, grow: bool) -> np.ndarray:
     """A new lexicon from the documents' subjects by the last one (None: by labels).
 
     While it grows, labelled documents count by their labels too and documents
     without a subject not at all, as their words may only not be known yet.
     """
-    shared = parsed.sparkSession.sparkContext.broadcast(lexicon)
+    shared = encoded.sparkSession.sparkContext.broadcast(lexicon)
+    n = len(subjects)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup = None if shared.value is None else Lookup(shared.value)
-        seen: dict[tuple[str, int], Counter] = {}  # by subject and number of subjects
-
-        def flush() -> pd.DataFrame:
-            parts = [pd.DataFrame({"word": list(c), "subject": s, "n": np.fromiter(c.values(), float) / k}) for (s, k), c in seen.items()]
-            seen.clear()
-            return pd.concat(parts) if parts else pd.DataFrame({"word": [], "subject": [], "n": []}).astype({"word": str, "subject": str, "n": float})
-
+        number = {s: i for i, s in enumerate(subjects)}
+        sums = np.zeros((size, n + 1))  # the last column: documents of no subject
         for b in batches:
-            for sections, words, given in zip(b["sections"], b["words"], b["labels"]):
-                if lookup is None:
-                    if given is None:
-                        continue
-                    subjects = list(given)
+            if not len(b):
+                continue
+            of = np.zeros((len(b), n + 1), dtype=bool)
+            if shared.value is None:
+                of[:, :n] = _given(b["labels"], number)
+            else:
+                total, per, _ = tally(b, shared.value, n)
+                strong = per >= LEAST_SENTENCES
+                if grow:
+                    of[:, :n] = (strong & (2 * per >= per.max(axis=1, keepdims=True))) | _given(b["labels"], number)
                 else:
-                    total, per, _ = tally(sections, lookup)
-                    if grow:
-                        subjects = sorted({*leading(per), *(() if given is None else given)})
-                        if not subjects:
-                            continue
-                    else:
-                        subjects = active(total, per) or [NONE]
-                for s in subjects:
-                    seen.setdefault((s, len(subjects)), Counter()).update(words)
-            if sum(map(len, seen.values())) > 500_000:
-                yield flush()
-        yield flush()
-
-    counts = parsed.select("sections", "words", "labels").mapInPandas(count, "word string, subject string, n double").groupBy("word", "subject").agg(F.sum("n").alias("n"))
+                    of[:, :n] = strong & (per >= SUBSTANTIAL * total[:, None])
+                    of[:, n] = ~of.any(axis=1)
+            share = of / np.maximum(of.sum(axis=1, keepdims=True), 1)
+            own, sizes = _flat(b["own"])
+            for s in np.flatnonzero(of.any(axis=0)):
+                sums[:, s] += np.bincount(own, weights=np.repeat(share[:, s], sizes), minlength=size)
+        word, subject = np.nonzero(sums)
+        yield pd.DataFrame({"word": word, "subject": subject, "n": sums[word, subject]})
+
+    cols = ["labels", "own"] if lexicon is None else ["words", "stems", "lengths", "sections", "own", "labels"]
+    counts = encoded.select(*cols).mapInPandas(count, "word int, subject int, n double").groupBy("word", "subject").agg(F.sum("n").alias("n"))
     per_word = counts.groupBy("word").agg(
         F.sum("n").alias("all"), F.max(F.struct("n", "subject")).alias("top"),
         F.sort_array(F.collect_list("n"), asc=False).alias("ns"),  # as many as there are subjects
@@ -193,37 +264,44 @@ def _learn(parsed: DataFrame, lexicon: dict[str, str] | None, n_docs: int, grow:
     first = lexicon is None
     least, pure, lead = (FIRST_LEAST, FIRST_PURE, FIRST_LEAD) if first else (max(LEAST_DOCS, int(LEAST_SHARE * n_docs)), PURE, LEAD)
     second = F.coalesce(F.get("ns", F.lit(1)), F.lit(0.0))
-    rows = per_word.filter((F.col("all") >= least) & (F.col("top.n") >= pure * F.col("all")) & (F.col("top.n") >= lead * second) & (F.col("top.subject") != NONE)).select("word", "top.subject")
-    return {r[0]: r[1] for r in rows.collect()}
+    rows = per_word.filter((F.col("all") >= least) & (F.col("top.n") >= pure * F.col("all")) & (F.col("top.n") >= lead * second) & (F.col("top.subject") < n)).select("word", "top.subject")
+    found = np.full(size + 1, -1, dtype=np.int16)
+    for word, subject in rows.collect():  # words of the vocabulary
+        found[word] = subject
+    return found
 
 
-def _votes(parsed: DataFrame, lexicon: dict[str, str]) -> DataFrame:
+def _votes(encoded: DataFrame, lexicon: np.ndarray, subjects: list[str]) -> DataFrame:
     """(doc_id, work_id, source, subject, n, total, sections, given) of pairs with evidence."""
-    shared = parsed.sparkSession.sparkContext.broadcast(lexicon)
+    shared = encoded.sparkSession.sparkContext.broadcast(lexicon)
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup = Lookup(shared.value)
+        names = np.array(subjects, dtype=object)
         for b in batches:
-            rows = []
-            for d, w, src, sections, given in zip(b["doc_id"], b["work_id"], b["source"], b["sections"], b["labels"]):
-                total, per, where = tally(sections, lookup)
-                marks = set() if given is None else set(given)
-                for s in set(per) | marks:
-                    rows.append((d, None if pd.isna(w) else int(w), src, s, per[s], total, where[s], 0 if given is None else 1 if s in marks else 2))
-            out = pd.DataFrame(rows, columns=["doc_id", "work_id", "source", "subject", "n", "total", "sections", "given"])
-            yield out.astype({"doc_id": "int64", "work_id": "Int64", "n": "int64", "total": "int64", "sections": "int64", "given": "int64"})
+            if not len(b):
+                continue
+            total, per, where = tally(b, shared.value, len(subjects))
+            marks = _given(b["labels"], {s: i for i, s in enumerate(subjects)})
+            d, s = np.nonzero((per > 0) | marks)
+            labelled = b["labels"].notna().to_numpy()[d]
+            yield pd.DataFrame({
+                "doc_id": b["doc_id"].to_numpy()[d], "work_id": b["work_id"].astype("Int64").array[d], "source": b["source"].to_numpy()[d], "subject": names[s], "n": per[d, s], "total": total[d],
+                "sections": where[d, s], "given": np.where(labelled, np.where(marks[d, s], 1, 2), 0),
+            })
 
-    return stage(parsed.drop("words").mapInPandas(vote, "doc_id long, work_id long, source string, subject string, n long, total long, sections long, given long"), "votes")
+    return stage(encoded.drop("own").mapInPandas(vote, "doc_id long, work_id long, source string, subject string, n long, total long, sections long, given long"), "votes")
 
 
-def latent_accuracies(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 50) -> np.ndarray:
+def latent_accuracies(patterns: np.ndarray, counts: np.ndarray, start: np.ndarray, rounds: int = 50, never: np.ndarray | None = None) -> np.ndarray:
     """Posterior of the positive class per vote pattern.
 
     ``patterns``: one row per pattern, one column per labelling function with its
     vote as a small integer.  Expectation maximisation of a two-class model in
-    which functions vote independently given the class, from ``start``.
+    which functions vote independently given the class, from ``start``.  Patterns
+    in ``never`` are known not to be of the class and hold it at 0.
     """
-    post = start.astype(float)
+    never = np.zeros(len(patterns), dtype=bool) if never is None else never
+    post = np.where(never, 0.0, start.astype(float))
     sizes = patterns.max(axis=0) + 1 if len(patterns) else []
     for _ in range(rounds):
         log = np.zeros((len(patterns), 2))
@@ -233,7 +311,7 @@ def latent_accuracies(patterns: np.ndarray, counts: np.ndarray, start: np.ndarra
             for j, k in enumerate(sizes):
                 n = np.bincount(patterns[:, j], weights=weight, minlength=k) + 0.1
                 log[:, c] += np.log(n / n.sum())[patterns[:, j]]
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60)))
+        new = np.where(never, 0.0, 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60))))
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
@@ -244,19 +322,29 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, growing: int = G
     """(doc_id, subject, share, n_sentences, posterior) of pairs with any evidence.
 
     Documents without text, sentences or evidence give no rows; without labels
-    there is no lexicon and no row.  Rows delivered twice count once.
+    there is no lexicon and no row.  Rows delivered twice count once.  A passing
+    sentence, or less than three quarters of a substantial share, is no subject by
+    definition: the model holds these patterns at 0.
     """
     spark = documents.sparkSession
     text_batches(spark)
     parsed = _parsed(documents, labels)
     n_docs = parsed.count()
-    lexicon = _learn(parsed, None, 0, True)
+    subjects = sorted(r[0] for r in labels.filter("doc_id is not null and subject is not null").select("subject").distinct().collect())
+    none = spark.createDataFrame([], "doc_id long, subject string, share double, n_sentences long, posterior double")
+    if not subjects or not n_docs:
+        return none
+    vocabulary = _vocabulary(parsed, n_docs)
+    encoded = _encoded(parsed, vocabulary)
+    discard(parsed)
+    lexicon = _learn(encoded, None, subjects, len(vocabulary), 0, True)
     for k in range(growing + cleaning):
-        lexicon = _learn(parsed, lexicon, n_docs, k < growing)
-    votes = _votes(parsed, lexicon)
+        lexicon = _learn(encoded, lexicon, subjects, len(vocabulary), n_docs, k < growing)
+    votes = _votes(encoded, lexicon, subjects)
+    discard(encoded)
     strong = (F.col("n") >= LEAST_SENTENCES) & (F.col("n") >= SUBSTANTIAL * F.col("total"))
     share = F.col("n") / F.greatest("total", F.lit(1))
-    lex = F.when(F.col("n") == 0, 0).when(F.col("n") < LEAST_SENTENCES, 1).when(share < SUBSTANTIAL, 2).when(share < 1.75 * SUBSTANTIAL, 3).otherwise(4)
+    lex = F.when(F.col("n") < LEAST_SENTENCES, F.col("n")).when(share < 0.75 * SUBSTANTIAL, 2).when(share < SUBSTANTIAL, 3).when(share < 1.75 * SUBSTANTIAL, 4).otherwise(5)
     section = F.least("sections", F.lit(2)).cast("int")
 
     def leaning(key: str) -> DataFrame:
@@ -270,23 +358,18 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, growing: int = G
     names = ["v_lexicon", "v_section", "v_address", "v_source", "v_label"]
     cols = [lex, section, F.coalesce("by_work_id", F.lit(2)), F.coalesce("by_source", F.lit(2)), F.col("given").cast("int")]
     full = stage(full.select("doc_id", "subject", "n", share.alias("share"), *[c.cast("int").alias(k) for c, k in zip(cols, names)]), "patterns")
-    seen = full.groupBy(*names).count().collect()  # 5 * 3 * 3 * 3 * 3 patterns at most
+    seen = full.groupBy(*names).count().collect()  # 6 * 3 * 3 * 3 * 3 patterns at most
     if not seen:
-        return spark.createDataFrame([], "doc_id long, subject string, share double, n_sentences long, posterior double")
+        return none
     patterns = np.array([[r[k] for k in names] for r in seen])
-    post = latent_accuracies(patterns, np.array([r["count"] for r in seen], dtype=float), np.where(patterns[:, 0] >= 3, 0.95, 0.05))
+    post = latent_accuracies(patterns, np.array([r["count"] for r in seen], dtype=float), np.where(patterns[:, 0] >= 4, 0.95, 0.05), never=patterns[:, 0] <= 2)
     model = spark.createDataFrame([(*map(int, p), float(x)) for p, x in zip(patterns, post)], ", ".join(f"{k} int" for k in names) + ", posterior double")
     return full.join(F.broadcast(model), names).select("doc_id", "subject", "share", F.col("n").alias("n_sentences"), "posterior")
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, subject): the subject areas that a document deals with.
-
-    A posterior of ``POSTERIOR`` or more assigns a subject, unless it has a single
-    passing sentence or less than three quarters of a substantial share.
-    """
-    p = subject_posteriors(documents, labels)
-    return p.filter((F.col("posterior") >= POSTERIOR) & (F.col("n_sentences") >= LEAST_SENTENCES) & (F.col("share") >= 0.75 * SUBSTANTIAL)).select("doc_id", "subject")
+    """(doc_id, subject): the subject areas with a posterior of ``POSTERIOR`` or more."""
+    return subject_posteriors(documents, labels).filter(F.col("posterior") >= POSTERIOR).select("doc_id", "subject")
 
 
 def composition(documents: DataFrame, labels: DataFrame) -> DataFrame:
