@@ -98,6 +98,17 @@ def text_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row per key without sending all rows through a shuffle.
+
+    Only the keys are counted; rows of a key that comes once pass as they are, and
+    the others alone are gathered by key.  Beyond a size of keys that come again
+    which can be broadcast, the rows are shuffled after all.
+    """
+    again = broadcast_if_small(stage(df.groupBy(key).count().filter("count > 1").select(key), "again"))
+    return df.join(again, key, "left_anti").unionByName(df.join(again, key, "left_semi").dropDuplicates([key]))
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, in bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
