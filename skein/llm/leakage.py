@@ -4,8 +4,8 @@ The patterns are all windows of ``min_words`` words of the held-out passages.
 Words are the alphabet; a block is two words.  A shift table says how far a
 position can move on without missing a pattern end, a bucket per final block
 holds the patterns to compare word by word.  The pattern tables are built once
-per Python worker from the passages, whose size is checked before they are
-shipped; the documents stream through in Arrow batches, whole texts.
+per Python worker from the passages, which are shipped in parts of bounded size;
+the documents stream through in Arrow batches, whole texts.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from skein.session import text_batches
 
 #: Words that a document must share with a passage, in sequence.
 MIN_WORDS = 12
-#: Passages are sent to every worker in parts of at most this many rows.
-PART = 20_000
+#: Passages are sent to every worker in parts of this many bytes; a part is a pass over the documents.
+PART_BYTES = 16 << 20
 
 _TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|<[!?][^<>]*>", re.S)
 _WORD = re.compile(r"[^\W_]+")
@@ -93,22 +93,33 @@ class WuManber:
         return found
 
 
-def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, part: int = PART) -> DataFrame:
+def _parts(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
+    """The passages in parts of about ``size`` bytes; the driver holds one part at a time."""
+    part, held = [], 0
+    for item, passage in items.toLocalIterator():
+        part.append((item, passage))
+        held += len(passage.encode()) + 64
+        if held >= size:
+            yield part
+            part, held = [], 0
+    yield part
+
+
+def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, item_id): documents holding ``min_words`` consecutive words of a passage.
 
     Passages shorter than that match nothing; null texts and passages hold no
-    words.  Rows delivered twice count once.  The held-out set is read to the
-    driver in parts of ``part`` passages, each searched in one pass over the
-    documents, so any number of passages is handled; documents never leave the
-    executors.
+    words.  Rows delivered twice count once.  The held-out set passes the driver in
+    parts of ``part_bytes``, each searched in one pass over the documents, so any
+    number of passages is handled; documents never leave the executors.
     """
     spark = documents.sparkSession
     text_batches(spark)
-    rows = [(r[0], r[1]) for r in items.select("item_id", "passage").filter("item_id is not null and passage is not null").distinct().toLocalIterator()]
+    rows = items.select("item_id", "passage").filter("item_id is not null and passage is not null").distinct()
     docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
     out = None
-    for k in range(0, max(1, len(rows)), part):
-        shared = spark.sparkContext.broadcast((rows[k : k + part], min_words))
+    for part in _parts(rows, part_bytes):
+        shared = spark.sparkContext.broadcast((part, min_words))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             machine = WuManber(*shared.value)

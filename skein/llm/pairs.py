@@ -19,6 +19,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -28,6 +29,8 @@ from skein.session import stage
 
 #: A context counts from so many occurrences on, and goes on if it ends answers at most this often.
 LEAST_SEEN, MOST_ENDED = 8, 0.15
+#: Anchors of a document that are looked up together.
+TOGETHER = 500
 #: Least share of the question's words that a copy repeats.
 COPIED = 0.75
 
@@ -125,24 +128,35 @@ def _same_word(a: str, b: str) -> bool:
 
 
 def tiles(a: list[str], b: list[str], least: int = 2) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (start in a, start in b, length), longest first."""
-    used_a, used_b, out = [False] * len(a), [False] * len(b), []
+    """Greedy string tiling: (start in a, start in b, length), longest first.
+
+    Words are compared once per pair of distinct words; the lengths of all common
+    runs follow from the end backwards, row by row.
+    """
+    if not a or not b:
+        return []
+    va, vb = {w: i for i, w in enumerate(dict.fromkeys(a))}, {w: i for i, w in enumerate(dict.fromkeys(b))}
+    alike = np.zeros((len(va), len(vb)), dtype=bool)
+    for x, i in va.items():
+        for y, j in vb.items():
+            alike[i, j] = x == y or (abs(len(x) - len(y)) <= 1 and _same_word(x, y))
+    same = alike[np.ix_([va[w] for w in a], [vb[w] for w in b])]
+    out = []
     while True:
+        run = np.zeros(len(b) + 1, dtype=np.int32)
         best = (0, 0, 0)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                if len(a) - i <= best[2]:
-                    break
-                n = 0
-                while i + n < len(a) and j + n < len(b) and not used_a[i + n] and not used_b[j + n] and _same_word(a[i + n], b[j + n]):
-                    n += 1
-                if n > best[2]:
-                    best = (i, j, n)
-        if best[2] < least:
-            return out
+        for i in range(len(a) - 1, -1, -1):
+            row = np.zeros(len(b) + 1, dtype=np.int32)
+            row[:-1] = np.where(same[i], run[1:] + 1, 0)
+            j = int(row.argmax())
+            if row[j] >= best[2]:
+                best = (i, j, int(row[j]))
+            run = row
         i, j, n = best
-        used_a[i : i + n] = [True] * n
-        used_b[j : j + n] = [True] * n
+        if n < least:
+            return out
+        same[i : i + n, :] = False
+        same[:, j : j + n] = False
         out.append(best)
 
 
@@ -154,7 +168,7 @@ def is_copied(question: str, answer: str) -> bool:
     question stays, also one that takes its words from it.
     """
     q, a = _WORD.findall(question.lower()), _WORD.findall(answer.lower())
-    if len(q) < 3 or len(a) < COPIED * len(q) or len(a) > 4 * len(q) + 8:
+    if len(q) < 3 or len(a) < COPIED * len(q):
         return False
     known = set(q)
     if sum(w in known for w in a) < 0.5 * len(a):
@@ -335,14 +349,17 @@ def squeezed(c: Column) -> Column:
 def missing_anchors(rows: DataFrame, documents: DataFrame) -> DataFrame:
     """result_id of rows whose anchor is blank or not in their document's text.
 
-    Distinct (document, anchor) pairs are looked up, so many rows with one anchor
-    read its document once; a document that does not exist or has no text holds
-    no anchor.
+    Distinct (document, anchor) pairs are looked up, ``TOGETHER`` or so of one
+    document in one row, so a text is normalised and sent once for so many anchors
+    and a document with very many is spread.  Only documents that are asked for
+    are read into the join; one that does not exist or has no text holds no anchor.
     """
     r = rows.select("result_id", F.col("source_doc_id").alias("doc_id"), squeezed(F.col("retrieval_anchor")).alias("anchor"))
     asked = r.filter("doc_id is not null and anchor <> ''").select("doc_id", "anchor").distinct()
-    texts = documents.select("doc_id", F.col("text").alias("_text"))
-    held = asked.join(texts, "doc_id").filter(F.contains(squeezed(F.col("_text")), F.col("anchor"))).select("doc_id", "anchor").distinct()
+    many = asked.groupBy("doc_id").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")).filter("parts > 1")
+    lists = asked.join(many, "doc_id", "left").groupBy("doc_id", F.pmod(F.xxhash64("anchor"), F.coalesce("parts", F.lit(1))).alias("part")).agg(F.collect_list("anchor").alias("anchors"))
+    texts = documents.filter("text is not null").select("doc_id", squeezed(F.col("text")).alias("_text"))
+    held = lists.join(texts, "doc_id").select("doc_id", F.explode(F.filter("anchors", lambda a: F.contains(F.col("_text"), a))).alias("anchor")).distinct()
     return r.join(held, ["doc_id", "anchor"], "left_anti").select("result_id").distinct()
 
 

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.session import broadcast_if_small, discard, stage, text_batches
+from skein.session import broadcast_if_small, discard, once, stage, text_batches
 
 #: Rounds that grow the lexicon, in which documents without a subject do not count,
 #: and rounds that clean it, in which they do.
@@ -109,7 +109,7 @@ def _parsed(documents: DataFrame, labels: DataFrame) -> DataFrame:
             b["text"] = ["\f".join("\n".join(" ".join(x) for x in sec) for sec in sentences(t)) for t in b["text"]]
             yield b
 
-    slim = documents.filter("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "work_id", F.lower(F.trim("source")).alias("source"), "text")
+    slim = once(documents.filter("doc_id is not null").select("doc_id", "work_id", F.lower(F.trim("source")).alias("source"), "text"), "doc_id")
     parsed = slim.mapInPandas(parse, "doc_id long, work_id long, source string, text string")
     given = labels.filter("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("labels"))
     return stage(parsed.join(given, "doc_id", "left"), "parsed")

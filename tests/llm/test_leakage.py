@@ -45,7 +45,7 @@ def test_search_equals_brute_force(spark):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
     want = brute(docs, items)
     assert {tuple(r) for r in leaks(d, i).collect()} == want
-    assert {tuple(r) for r in leaks(d, i, part=7).collect()} == want
+    assert {tuple(r) for r in leaks(d, i, part_bytes=700).collect()} == want
 
 
 def test_eleven_words_are_no_case():

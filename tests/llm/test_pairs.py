@@ -24,7 +24,7 @@ def test_refusal(a, want):
 
 @pytest.mark.parametrize(
     "a, want",
-    [(Q, True), (Q.upper(), True), ("Q: " + Q, True), (Q + " " + Q, True), ("Where did Ann Lee mete Bob Ray over the 12 catrs", True), (Q + " At Old Mill", False), (Q + " Ann Lee", False), ("Ann Lee", False), ("Ann Lee met Bob Ray at Old Mill.", False)],
+    [(Q, True), (Q.upper(), True), ("Q: " + Q, True), (Q + " " + Q, True), (" ".join([Q] * 30), True), ("Where did Ann Lee mete Bob Ray over the 12 catrs", True), (Q + " At Old Mill", False), (Q + " Ann Lee", False), ("Ann Lee", False), ("Ann Lee met Bob Ray at Old Mill.", False)],
 )
 def test_copied(a, want):
     assert is_copied(Q, a) is want
@@ -79,6 +79,13 @@ def test_a_cut_clause_is_found_by_counts(spark):
     assert got == [(99, "truncated_answer")]
 
 
+def test_many_anchors_of_one_document(spark):
+    text = " ".join(f"w{i}" for i in range(3_000))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string")
+    df = spark.createDataFrame([(i, Q, "At Old Mill", f"W{i}  w{i + 1}" if i % 3 else f"w{i} w{i}", 1, None) for i in range(2_000)], ROW)
+    assert {r.result_id for r in missing_anchors(df, docs).collect()} == {i for i in range(2_000) if not i % 3}
+
+
 def test_very_long_answer(spark):
     docs = spark.createDataFrame([(1, "x " * 200_000)], "doc_id bigint, text string")
     df = spark.createDataFrame([(1, Q, "word " * 60_000 + "end.", "x x", 1, "c")], ROW)
