@@ -101,6 +101,21 @@ class Stems(dict):
         return found
 
 
+class Numbers(dict):
+    """Numbers of a word and of its stem in one integer; the size of the vocabulary stands for none."""
+
+    def __init__(self, vocabulary: list[str]) -> None:
+        super().__init__()
+        self.index = {w: i for i, w in enumerate(vocabulary)}
+        self.none = len(vocabulary)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = code = self.index.get(word, self.none) << 32 | self.index.get(stem(word), self.none)
+        return code
+
+
 def _parsed(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents as plain words: a blank between words, a line per sentence, a form feed between sections."""
 
@@ -147,33 +162,32 @@ def _encoded(parsed: DataFrame, vocabulary: list[str]) -> DataFrame:
     shared = parsed.sparkSession.sparkContext.broadcast(vocabulary)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = {w: i for i, w in enumerate(shared.value)}
-        none = len(index)
-        stems = Stems()
-        known: dict[str, tuple[int, int]] = {}
+        known = Numbers(shared.value)
+        none = len(shared.value)
         for b in batches:
-            cols: dict[str, list] = {k: [] for k in ("words", "stems", "lengths", "sections", "own")}
-            for t in b["text"]:
-                lines = [(k, x.split(" ")) for k, sec in enumerate(t.split("\f")) for x in sec.split("\n")] if t else []
-                pairs, sizes = [], []
-                for _, found in lines:
-                    before = len(pairs)
-                    for w in found:
-                        got = known.get(w)
-                        if got is None:
-                            if len(known) > 300_000:
-                                known.clear()
-                            got = known[w] = (index.get(w, none), index.get(stems[w], none))
-                        if got != (none, none):
-                            pairs.append(got)
-                    sizes.append(len(pairs) - before)
-                at = np.array(pairs, dtype=np.int32).reshape(-1, 2)
-                cols["words"].append(at[:, 0])
-                cols["stems"].append(at[:, 1])
-                cols["lengths"].append(np.array(sizes, dtype=np.int32))
-                cols["sections"].append(np.array([k for k, _ in lines], dtype=np.int32))
-                own = np.unique(at)
-                cols["own"].append(own[own < none])
+            if not len(b):
+                continue
+            codes = np.fromiter(map(known.__getitem__, " ".join(b["text"]).split()), dtype=np.int64)
+            words, stems = codes >> 32, codes & 0xFFFFFFFF
+            # sentences: their document, section and words
+            doc, sections, sizes = [], [], []
+            for d, t in enumerate(b["text"]):
+                for k, sec in enumerate(t.split("\f") if t else ()):
+                    for x in sec.split("\n"):
+                        doc.append(d)
+                        sections.append(k)
+                        sizes.append(x.count(" ") + 1)
+            doc = np.array(doc, dtype=np.int64)
+            kept = (words < none) | (stems < none)
+            sentence = np.repeat(np.arange(len(doc)), sizes)[kept]
+            words, stems = words[kept].astype(np.int32), stems[kept].astype(np.int32)
+            lengths = np.bincount(sentence, minlength=len(doc)).astype(np.int32)
+            token_ends = np.searchsorted(doc[sentence], np.arange(1, len(b)))
+            ends = np.searchsorted(doc, np.arange(1, len(b)))
+            own = np.unique(np.concatenate([doc[sentence] * (none + 1) + words, doc[sentence] * (none + 1) + stems]))
+            own = own[own % (none + 1) < none]
+            cols = {"words": np.split(words, token_ends), "stems": np.split(stems, token_ends), "lengths": np.split(lengths, ends), "sections": np.split(np.array(sections, dtype=np.int32), ends)}
+            cols["own"] = np.split((own % (none + 1)).astype(np.int32), np.searchsorted(own // (none + 1), np.arange(1, len(b))))
             yield b.drop(columns="text").assign(**cols)
 
     ints = ", ".join(f"{k} array<int>" for k in ("words", "stems", "lengths", "sections", "own"))
@@ -252,19 +266,20 @@ def _learn(encoded: DataFrame, lexicon: np.ndarray | None, subjects: list[str],
             own, sizes = _flat(b["own"])
             for s in np.flatnonzero(of.any(axis=0)):
                 sums[:, s] += np.bincount(own, weights=np.repeat(share[:, s], sizes), minlength=size)
-        word, subject = np.nonzero(sums)
-        yield pd.DataFrame({"word": word, "subject": subject, "n": sums[word, subject]})
+        seen = np.flatnonzero(sums.any(axis=1))
+        yield pd.DataFrame(sums[seen], columns=names).assign(word=seen)
 
+    # a column per subject instead of a row: one row per word and task goes through the shuffle
+    names = [f"n{i}" for i in range(n + 1)]
     cols = ["labels", "own"] if lexicon is None else ["words", "stems", "lengths", "sections", "own", "labels"]
-    counts = encoded.select(*cols).mapInPandas(count, "word int, subject int, n double").groupBy("word", "subject").agg(F.sum("n").alias("n"))
-    per_word = counts.groupBy("word").agg(
-        F.sum("n").alias("all"), F.max(F.struct("n", "subject")).alias("top"),
-        F.sort_array(F.collect_list("n"), asc=False).alias("ns"),  # as many as there are subjects
-    )
+    counted = encoded.select(*cols).mapInPandas(count, ", ".join(f"{k} double" for k in names) + ", word int")
+    sums = counted.groupBy("word").agg(*[F.sum(k).alias(k) for k in names])
+    every = F.array(*names)
+    ranked = F.sort_array(every, asc=False)
+    per_word = sums.select("word", F.aggregate(every, F.lit(0.0), lambda x, y: x + y).alias("all"), F.array_max(every).alias("top"), F.get(ranked, F.lit(1)).alias("second"), (F.array_position(every, F.array_max(every)) - 1).cast("int").alias("subject"))
     first = lexicon is None
     least, pure, lead = (FIRST_LEAST, FIRST_PURE, FIRST_LEAD) if first else (max(LEAST_DOCS, int(LEAST_SHARE * n_docs)), PURE, LEAD)
-    second = F.coalesce(F.get("ns", F.lit(1)), F.lit(0.0))
-    rows = per_word.filter((F.col("all") >= least) & (F.col("top.n") >= pure * F.col("all")) & (F.col("top.n") >= lead * second) & (F.col("top.subject") < n)).select("word", "top.subject")
+    rows = per_word.filter((F.col("all") >= least) & (F.col("top") >= pure * F.col("all")) & (F.col("top") >= lead * F.col("second")) & (F.col("subject") < n)).select("word", "subject")
     found = np.full(size + 1, -1, dtype=np.int16)
     for word, subject in rows.collect():  # words of the vocabulary
         found[word] = subject
