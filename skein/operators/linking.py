@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -10,6 +14,8 @@ from pyspark.sql.types import DoubleType
 from skein.functions.text import normalize_name
 from skein.operators import graph, vector
 
+#: Letters of a known name up to which it is found by segments.
+LONG = 48
 #: Least token sort ratio of a fuzzy match, and the scores of each way to match.
 FUZZY, SCORE = 88.0, {"exact": 1.0, "alias": 0.95, "fuzzy": 0.87}
 
@@ -39,50 +45,100 @@ def sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _grams(c: Column) -> Column:
-    """Bigrams of texts under 8 letters, trigrams of texts from 7 on.
+    """Distinct groups of three letters of a long text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
+
+
+def segments_of(length: int, parts: int) -> list[tuple[int, int]]:
+    """(start, length) of ``parts`` segments of nearly equal length, the shorter ones first."""
+    size, longer = divmod(length, parts)
+    sizes = [size] * (parts - longer) + [size + 1] * longer
+    return [(sum(sizes[:i]), n) for i, n in enumerate(sizes) if n]
+
+
+def _most_edits(length: int, least: float) -> int:
+    """Most insertions and deletions between a name of ``length`` and any that is ``least`` alike."""
+    loss = 1 - least / 100
+    return int(loss * (length + length * (1 + loss) / (1 - loss)) + 1e-9)
+
+
+def _segment_keys(y: str, least: float) -> list[int]:
+    """Of a known name: its segments, one more than edits are allowed, so one stays whole."""
+    n = len(y)
+    return [xxhash.xxh3_64_intdigest(f"{n}:{at}:{y[at : at + size]}") for at, size in segments_of(n, min(n, _most_edits(n, least) + 1))]
 
-    At a ratio of 88 so few letters differ that two texts share one of these.
+
+def _probe_keys(x: str, least: float) -> set[int]:
+    """Of a name: every place where a segment of a known name can stand.
+
+    With d edits in all and lengths that differ by e, a segment that stays whole is
+    moved by m places only if |m| + |e - m| is at most d.
     """
-    def cut(size: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(size)))
+    p, keys = len(x), set()
+    for n in range(1, LONG + 1):
+        d, e = int((1 - least / 100) * (p + n) + 1e-9), p - n
+        if abs(e) > d:
+            continue
+        for at, size in segments_of(n, min(n, _most_edits(n, least) + 1)):
+            for m in range(-((d - e) // 2), (d + e) // 2 + 1):
+                if 0 <= at + m <= p - size:
+                    keys.add(xxhash.xxh3_64_intdigest(f"{n}:{at}:{x[at + m : at + m + size]}"))
+    return keys
+
 
-    none = F.array().cast("array<string>")
-    return F.array_distinct(F.concat(F.when(F.length(c) < 8, cut(2)).otherwise(none), F.when(F.length(c) >= 7, cut(3)).otherwise(none)))
+def _keyed(df: DataFrame, column: str, keys: Callable[[str, float], Iterable[int]], least: float) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["keys"] = [np.array(sorted(keys(t, least)), dtype=np.uint64).view(np.int64) for t in b[column]]
+            yield b
+
+    return df.select(column).mapInPandas(run, f"{column} string, keys array<long>").select(column, F.explode("keys").alias("key"))
 
 
 def fuzzy_match(names: DataFrame, known: DataFrame, least: float = FUZZY) -> DataFrame:
     """(name, id, ratio): best known name of each name at ``least`` (88 or more).
 
-    Lower case is compared, words sorted.  Candidates meet on letter groups by
-    equi-join and must share as many as the edits that the ratio allows can leave;
-    only these are compared letter by letter, and there is no cross join.
-    Ties go to the smaller id.
+    Lower case is compared, words sorted; ties go to the smaller id.  Candidates
+    meet by equi-join on segments: a known name is cut into one segment more than
+    the edits that the ratio allows, so one of them stands whole in the other name,
+    near its place.  Known names of more than ``LONG`` letters, whose segments would
+    be too many, meet on letter groups and must share as many as the edits can
+    leave.  Only candidates are compared letter by letter; no pair at ``least`` is
+    lost, and there is no cross join.
     """
     tidy = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != "")), " ")
     a = names.select("name").filter("name is not null").distinct().withColumn("x", tidy(F.col("name"))).filter("x <> ''")
     b = known.select("id", F.col("name").alias("known")).filter("known is not null").withColumn("y", tidy(F.col("known"))).filter("y <> ''")
-    x, y = a.select("x").distinct(), b.select("y").distinct()
+    tasks = max(2, names.sparkSession.sparkContext.defaultParallelism)
+    x, y = a.select("x").distinct().repartition(tasks, "x"), b.select("y").distinct()
     p, q = F.length("x"), F.length("y")
-    of_size = lambda n: F.size(F.filter(_grams(F.col("x")), lambda g: F.length(g) == n))
-    met = x.select("x", of_size(2).alias("two"), of_size(3).alias("three"), F.explode(_grams(F.col("x"))).alias("g")).join(y.select("y", F.explode(_grams(F.col("y"))).alias("g")), "g")
+    reach = LONG * (2 - least / 100) / (least / 100)
+    short = _keyed(y.filter(q <= LONG), "y", _segment_keys, least).join(_keyed(x.filter(p <= reach), "x", _probe_keys, least), "key").select("x", "y").distinct()
+    long = x.filter(p > LONG * (least / 100) / (2 - least / 100) - 1).select("x", F.size(_grams(F.col("x"))).alias("three"), F.explode(_grams(F.col("x"))).alias("g"))
+    met = long.join(y.filter(q > LONG).select("y", F.explode(_grams(F.col("y"))).alias("g")), "g")
     # edits that the ratio allows, and the groups of x that must survive them
     edits = F.floor((1 - least / 100) * (p + q) + 1e-9)
-    size = F.when((p >= 7) & (q >= 7), 3).otherwise(2)
-    shared = met.filter((F.length("g") == size) | (F.least(p, q) < 2)).filter(F.abs(p - q) <= edits).groupBy("x", "y", "two", "three").agg(F.count("*").alias("n"))
-    own = F.when(size == 3, F.col("three")).otherwise(F.col("two"))
-    may = shared.filter(F.col("n") >= own - size * edits).select("x", "y")
+    shared = met.filter(F.abs(p - q) <= edits).groupBy("x", "y", "three").agg(F.count("*").alias("n"))
+    may = short.unionByName(shared.filter(F.col("n") >= F.col("three") - 3 * edits).select("x", "y"))
     scored = may.withColumn("ratio", sort_ratio("x", "y")).filter(F.col("ratio") >= least)
     best = a.join(scored, "x").join(b, "y").groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "id")).alias("m"))
     return best.select("name", F.col("m.id").alias("id"), (-F.col("m.r")).alias("ratio"))
 
 
 def token_subset_match(names: DataFrame, known: DataFrame) -> DataFrame:
-    """(name, id): names whose words are all words of exactly one known name."""
+    """(name, id): names whose words are all words of exactly one known name.
+
+    A name looks only among the known names that hold its rarest word, so a word of
+    a third of all known names decides nothing unless it stands alone.
+    """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != ""))
     a = names.select("name").filter("name is not null").distinct().withColumn("w", words(F.col("name"))).filter(F.size("w") > 0)
-    b = known.select("id", F.explode(words(F.col("name"))).alias("t"))
-    hits = a.select("name", F.size("w").alias("n"), F.explode("w").alias("t")).join(b, "t").groupBy("name", "n", "id").agg(F.count("*").alias("k")).filter("k = n")
-    return hits.groupBy("name").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").select("name", "id")
+    b = known.filter("id is not null").select("id", words(F.col("name")).alias("v")).filter("v is not null").distinct()
+    held = b.select(F.explode("v").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    rarest = a.select("name", "w", F.explode("w").alias("t")).join(held, "t", "left").groupBy("name", "w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t")).alias("r"))
+    asked = rarest.filter("r.n > 0").select("name", "w", F.col("r.t").alias("t"))
+    hits = asked.join(b.select("id", "v", F.explode("v").alias("t")), "t").filter(F.size(F.array_except("w", "v")) == 0)
+    return hits.groupBy("name").agg(F.countDistinct("id").alias("c"), F.min("id").alias("id")).filter("c = 1").select("name", "id")
 
 
 def resolve_names(names: DataFrame, ents: DataFrame, vectors: DataFrame | None = None, facts: DataFrame | None = None, link: float = 0.88, ambiguous: float = 0.82) -> DataFrame:

@@ -1,9 +1,9 @@
 """Exact vector search for batches of queries.
 
-Many queries meet many rows: both sides are cut into blocks that meet as numpy
-matrices; every block pair keeps its top k, so what is shuffled is k rows per
-query and block.  Queries are a stated set; their number is checked before they
-are shipped to the workers, and beyond the limit they are processed in parts.
+Many queries meet many rows: both sides are cut into blocks that are multiplied as
+numpy matrices.  A task keeps a running top k of each query over all its rows, so
+what is shuffled is k rows per query and task.  Queries are a stated set; they
+are shipped to the workers in parts, each a pass over the rows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,33 @@ from skein.functions.vectors import cosine
 
 #: Queries of one part, held by every worker.
 PART = 4096
+#: Queries that are multiplied with a batch of rows at once.
+BLOCK = 256
+
+
+def _query_blocks(part: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of queries of one size, ``BLOCK`` at a time."""
+    by_size: dict[int, list] = {}
+    for i, v in part:
+        by_size.setdefault(len(v), []).append((i, v))
+    cut = [x[at : at + BLOCK] for x in by_size.values() for at in range(0, len(x), BLOCK)]
+    return [(np.array([i for i, _ in x]), np.array([v for _, v in x], dtype=float)) for x in cut]
+
+
+def _block_top(m: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, query, cosine) of the k best rows of each query and all that may tie with them.
+
+    The product of the matrices selects; scores are then taken pair by pair, so
+    equal vectors have equal scores wherever they stand.
+    """
+    n = min(m.shape[1], q.shape[1])
+    m, q, size_m, size_q = m[:, :n], q[:, :n], np.sqrt((m * m).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+    size = size_m[:, None] * size_q[None, :]
+    s = np.divide(m @ q.T, size, out=np.zeros(size.shape), where=size > 0)
+    least = np.partition(s, len(m) - k, axis=0)[len(m) - k] if len(m) > k else np.full(len(q), -np.inf)
+    r, c = np.nonzero(s >= least - 1e-9)
+    exact = np.einsum("ij,ij->i", m[r], q[c])
+    return r, c, np.divide(exact, size[r, c], out=np.zeros(len(r)), where=size[r, c] > 0)
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float | None = None) -> DataFrame:
@@ -49,23 +76,20 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float | None = Non
         shared = spark.sparkContext.broadcast(part)
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids = [x for x, _ in shared.value]
-            qs = [np.asarray(v, dtype=float) for _, v in shared.value]
+            blocks = _query_blocks(shared.value)
+            best = pd.DataFrame({"query_id": [], "id": [], "score": []})
             for b in batches:
                 b = b[b["vec"].notna()]
-                if b.empty or not ids:
+                if b.empty or not blocks:
                     continue
-                by_size = b.groupby(b["vec"].map(len))
-                for size, g in by_size:
-                    m = np.stack(g["vec"].to_numpy()).astype(float)
-                    len_m = np.sqrt((m * m).sum(axis=1))
-                    names = g["id"].to_numpy()
-                    for i, q in zip(ids, qs):
-                        n = min(size, len(q))
-                        denominator = len_m * np.sqrt((q * q).sum())
-                        s = np.divide(m[:, :n] @ q[:n], denominator, out=np.zeros(len(m)), where=denominator > 0)
-                        best = np.lexsort((names, -s))[:k]
-                        yield pd.DataFrame({"query_id": [i] * len(best), "id": names[best], "score": s[best]})
+                parts = [best] if len(best) else []
+                for _, g in b.groupby(b["vec"].map(len)):
+                    m, names = np.stack(g["vec"].to_numpy()).astype(float), g["id"].to_numpy()
+                    for ids, q in blocks:
+                        r, c, score = _block_top(m, q, k)
+                        parts.append(pd.DataFrame({"query_id": ids[c], "id": names[r], "score": score}))
+                best = pd.concat(parts).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            yield best.astype({"score": float})
 
         found = rows.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(search, f"query_id {q_type}, id {id_type}, score double")
         out = found if out is None else out.unionByName(found)

@@ -146,8 +146,8 @@ def _propagated(spark: SparkSession, d: str, depth: int) -> DataFrame:
 
 
 def graph_propagate(spark: SparkSession, d: str) -> DataFrame:
-    """Two hops from each question's start."""
-    out = _propagated(spark, d, 2)
+    """Four hops, the default depth, from each question's start."""
+    out = _propagated(spark, d, 4)
     return out.select("query_id", "start_id", "node_id", "hop", F.round("prop_score", 6).alias("prop_score"))
 
 
@@ -220,5 +220,5 @@ SELECT id, name, coalesce(nullif(entity_type, ''), 'Unknown') AS node_type, coal
     "graph_peopled_events": f"WITH {_EVT} SELECT id, array_to_string(list_transform(participants, lambda p: coalesce(p, '')), '; ') AS who FROM evt WHERE len(participants) > 0",
     "vector_top_k": f"SELECT * FROM ({_TOPK}) WHERE rank <= 5",
     "vector_floor": f"SELECT * FROM ({_TOPK}) WHERE rank <= 8 AND score >= 0.35",
-    "graph_propagate": _PROP + _hop(1) + _hop(2) + " SELECT query_id, start_id, node_id, hop, round(prop_score, 6) AS prop_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, start_id ORDER BY hop, ord) AS pl FROM all2) WHERE pl <= 25",
+    "graph_propagate": _PROP + _hop(1) + _hop(2) + _hop(3) + _hop(4) + " SELECT query_id, start_id, node_id, hop, round(prop_score, 6) AS prop_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, start_id ORDER BY hop, ord) AS pl FROM all4) WHERE pl <= 25",
 }

@@ -67,10 +67,10 @@ def resolve_fuzzy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """All ways to resolve a name, by rank; counts per way."""
+    """Every distinct name with the entity it resolves to, by the first way that finds one."""
     n = table(spark, d, "name_resolution").filter("input_name is not null").select(C("input_name").alias("name"))
     r = linking.resolve_names(n, Graph(spark, d).entities)
-    return r.groupBy("matched_by").agg(F.count("*").alias("n"))
+    return r.select("input_name", "node_id", "matched_by", "confidence", "is_ambiguous")
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +119,17 @@ _NUM = "unnest({a}) AS text, generate_subscripts({a}, 1) - 1 AS segment_id"
 _PARA = rf"list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: {_T.format('x')}), lambda x: length(x) >= 80)"
 _SCENE = rf"list_filter(list_transform(string_split_regex(text, '\n\s*(\*{{3,}}|---+|#{{1,3}}\s+\w)'), lambda x: {_T.format('x')}), lambda x: length(x) > 20)"
 _WORDS = r"list_distinct(list_filter(string_split_regex(lower({}), '\s+'), lambda t: t <> ''))"
+_CHUNK = r"""cut(doc_id, text, s, e) AS (
+  SELECT doc_id, text, 0, CASE WHEN length(text) <= 400 THEN length(text) WHEN b = 0 THEN 400 ELSE b END FROM (SELECT doc_id, text, length(regexp_extract(substr(text, 2, 400), '(?s)^.*[ \n\t]')) AS b FROM documents WHERE text <> '')
+  UNION ALL SELECT doc_id, text, n, CASE WHEN length(text) <= n + 400 THEN length(text) WHEN b = 0 THEN n + 400 ELSE n + b END
+  FROM (SELECT doc_id, text, n, length(regexp_extract(substr(text, n + 2, 400), '(?s)^.*[ \n\t]')) AS b FROM (SELECT doc_id, text, greatest(s + 1, e - 80) AS n FROM cut WHERE e < length(text)))),
+piece AS (SELECT doc_id, s, regexp_replace(substr(text, s + 1, e - s), '^\s+|\s+$', '', 'g') AS text FROM cut),
+chunk AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS chunk_id, text FROM piece WHERE length(text) >= 40)"""
+_SENT = rf"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+'), lambda x: {_T.format('x')}), lambda x: x <> '')"
 ORACLE = {
+    "segment_chunks": f"WITH RECURSIVE {_CHUNK} SELECT doc_id, chunk_id, length(text)::INT AS n, md5(text) AS text FROM chunk",
+    "sentence_windows": f"""WITH p AS (SELECT doc_id, {_SENT} AS a FROM documents), u AS (SELECT doc_id, unnest(a) AS text, (generate_subscripts(a, 1) - 1)::INT AS sent_id FROM p)
+SELECT doc_id, sent_id, md5(array_to_string(list(text) OVER (PARTITION BY doc_id ORDER BY sent_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), ' ')) AS context FROM u""",
     "segment_paragraphs": f"WITH p AS (SELECT doc_id, {_PARA} AS a FROM documents), u AS (SELECT doc_id, {_NUM.format(a='a')} FROM p) SELECT doc_id, segment_id::INT AS segment_id, md5(text) AS text FROM u",
     "segment_scenes": f"WITH p AS (SELECT doc_id, CASE WHEN len({_SCENE}) > 0 THEN {_SCENE} ELSE {_PARA} END AS a FROM documents), u AS (SELECT doc_id, {_NUM.format(a='a')} FROM p) SELECT doc_id, segment_id::INT AS segment_id, md5(text) AS text FROM u",
     "link_precedes": f"WITH {_EDGE} SELECT src AS from_id, dst AS to_id FROM pre",

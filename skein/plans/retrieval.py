@@ -12,6 +12,7 @@ from skein.functions import text
 from skein.functions.ids import pathway_id
 from skein.operators import cascade, entity_graph, graph, grep, methods, traversal, upsert
 from skein.plans.graph import _EDGE, _ENT, _EVT, Graph
+from skein.plans.ingest import _CHUNK
 from skein.plans.scalar import _DNS, _UUID, _atok, _join, _tok
 from skein.session import stage, table
 
@@ -25,8 +26,8 @@ def _with_vector(spark: SparkSession, d: str, df: DataFrame, key: str) -> DataFr
 
 
 def grep_records(spark: SparkSession, d: str) -> DataFrame:
-    """Documents holding all words of each evaluation passage's opening."""
-    q = table(spark, d, "eval_item").select(C("item_id").alias("query_id"), F.substring_index("passage", " ", 5).alias("text"))
+    """Documents holding all keywords of each evaluation passage."""
+    q = table(spark, d, "eval_item").select(C("item_id").alias("query_id"), C("passage").alias("text"))
     r = table(spark, d, "documents").select(C("doc_id").alias("stem"), C("text").alias("content"))
     return grep.grep(q, r).select("query_id", "stem", F.md5("block").alias("block"))
 
@@ -69,7 +70,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 def cascade_answers(spark: SparkSession, d: str) -> DataFrame:
     """The tiered cascade over the stated questions: tier, confidence, hits."""
     a = cascade.retrieve(Graph(spark, d).mixed_questions(), _stores(spark, d)).answers
-    return a.select("query_id", "source", F.round("confidence", 6).alias("confidence"), F.size("hits").alias("n_hits"), "reconsolidated")
+    return a.select("query_id", "source", F.round("confidence", 6).alias("confidence"), F.size("hits").alias("n_hits"), F.md5(F.array_join("hits", "\n")).alias("hits"), "reconsolidated")
 
 
 def cascade_tier1(spark: SparkSession, d: str) -> DataFrame:
@@ -81,12 +82,12 @@ def cascade_tier1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def method_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """Every method over the stated questions: length of each context."""
+    """Every method over the stated questions: length and digest of each context."""
     g = Graph(spark, d)
     arcs = entity_graph_arcs(spark, d).unionByName(entity_graph.alias_arcs(g.edges, g.entities))
     s = replace(_stores(spark, d), arcs=stage(arcs, "arcs"), chunks=stage(_chunks(spark, d), "chunks"))
     c = methods.run_methods(g.mixed_questions(), s)
-    return c.select("method_name", "query_id", F.length("context").alias("n"))
+    return c.select("method_name", "query_id", F.length("context").alias("n"), F.md5("context").alias("context"))
 
 
 def chunk_index(spark: SparkSession, d: str) -> DataFrame:
@@ -105,15 +106,6 @@ def entity_graph_seeds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_graph_expand(spark: SparkSession, d: str) -> DataFrame:
-    """How far the graph reaches in two directed steps from each place."""
-    arcs = entity_graph_arcs(spark, d)
-    seeds = arcs.select("source").distinct().filter(F.substring(F.md5("source"), 1, 1) == "0").select(C("source").alias("query_id"), C("source").alias("name"))
-    nodes, found = traversal.expand_graph(seeds, stage(arcs, "arcs"), 2)
-    n = nodes.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.max("hop").alias("max_hop"))
-    return n.join(found.groupBy("query_id").agg(F.count("*").alias("n_arcs")), "query_id", "left").select("query_id", "n_nodes", "max_hop", F.coalesce("n_arcs", F.lit(0)).alias("n_arcs"))
-
-
-def entity_graph_expand_all(spark: SparkSession, d: str) -> DataFrame:
     """How far the graph reaches in two directed steps from every distinct source."""
     return _reach(stage(entity_graph_arcs(spark, d), "arcs"))
 
@@ -151,7 +143,7 @@ def upsert_facts(spark: SparkSession, d: str) -> DataFrame:
     return upsert.store_facts(empty, e).select("id", "seq", "document_id")
 
 
-_NAMES = ("grep_records", "grep_questions", "pathway_backfill", "cascade_answers", "cascade_tier1", "method_contexts", "chunk_index", "entity_graph_arcs", "entity_graph_seeds", "entity_graph_expand", "entity_graph_expand_all", "upsert_mentions", "upsert_documents", "upsert_facts")
+_NAMES = ("grep_records", "grep_questions", "pathway_backfill", "cascade_answers", "cascade_tier1", "method_contexts", "chunk_index", "entity_graph_arcs", "entity_graph_seeds", "entity_graph_expand", "upsert_mentions", "upsert_documents", "upsert_facts")
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 
@@ -169,9 +161,14 @@ arc AS (SELECT DISTINCT ON (x, y) source, target, 'CO_OCCURS' AS relation FROM (
 loc AS (SELECT DISTINCT ON (x, y) source, target, 'LOCATED_IN' AS relation FROM (SELECT a.low AS x, b.low AS y, a.name AS source, b.name AS target, a.id AS i, a.pos AS p, b.pos AS q FROM pp a JOIN ll b ON a.id = b.id AND a.low <> b.low) ORDER BY x, y, i, p, q, source, target),
 arcs AS (SELECT * FROM arc UNION ALL SELECT * FROM loc)"""
 _PUUID = _UUID.format(h=f"substr(sha1({_DNS} || encode('pathway:' || substr(key_terms, 1, 80))), 1, 32)")
+_CUUID = _UUID.format(h=f"substr(sha1({_DNS} || encode(x)), 1, 32)")
 _FUUID = _UUID.format(h=f"substr(sha1({_DNS} || encode('app_user:' || md5(summary))), 1, 32)")
+_SEED = f"""{_ENT}, f AS (SELECT *, list_filter(list_slice(json_keys(props), 1, 4), lambda k: coalesce(json_extract_string(props, '$."' || k || '"'), '') <> '') AS ks FROM ent WHERE NOT is_stub OR NOT EXISTS (SELECT 1 FROM ent WHERE NOT is_stub)),
+t AS (SELECT id, name, coalesce(nullif(entity_type, ''), 'Unknown') AS k, substr(coalesce(nullif(props->>'description', ''), nullif(props->>'summary', ''), array_to_string(list_transform(ks, lambda k: k || ': ' || json_extract_string(props, '$."' || k || '"')), '; ')), 1, 300) AS d FROM f WHERE name IS NOT NULL)"""
 ORACLE = {
-    "grep_records": _grep("SELECT item_id AS query_id, array_to_string(list_slice(string_split(passage, ' '), 1, 5), ' ') AS t FROM eval_item", "query_id, doc_id AS stem, BLOCK AS block"),
+    "entity_graph_seeds": f"WITH {_SEED} SELECT DISTINCT ON (key) lower(name) AS key, name, name || ' (' || k || ')' || CASE WHEN d <> '' THEN ': ' || d ELSE '' END AS text FROM t ORDER BY key, id DESC",
+    "chunk_index": f"WITH RECURSIVE {_CHUNK}, h AS (SELECT *, 'rag:' || doc_id || ':' || chunk_id || ':' || substr(text, 1, 40) AS x FROM chunk) SELECT {_CUUID} AS id, doc_id AS chapter, chunk_id AS chunk_idx, 64 AS dim FROM h",
+    "grep_records": _grep("SELECT item_id AS query_id, passage AS t FROM eval_item", "query_id, doc_id AS stem, BLOCK AS block"),
     "grep_questions": _grep("SELECT result_id AS query_id, retrieval_anchor AS t FROM query_result WHERE result_id % 50 = 0", "query_id, doc_id AS stem"),
     "pathway_backfill": f"""WITH {_EDGE}, t AS (SELECT id, {_atok('participants')} AS p, {_atok('locations')} AS l, {_tok('action')} AS a, {_tok('outcome')} AS o, {_tok('title')} AS t, {_tok('summary')} AS s FROM evt),
 u AS (SELECT id, 'who_what' AS variant, p || a AS x FROM t UNION ALL SELECT id, 'who_result', p || o FROM t UNION ALL SELECT id, 'where_what', l || a FROM t UNION ALL SELECT id, 'cause_effect', a || o FROM t UNION ALL SELECT id, 'summary', t || s || p FROM t),
@@ -181,7 +178,7 @@ z AS (SELECT {_PUUID} AS pid, key_terms, array_to_string([id] || coalesce(ids, [
 SELECT DISTINCT ON (pid) pid, key_terms, pathway FROM z ORDER BY pid, seq DESC""",
     "entity_graph_arcs": f"WITH {_ARCS} SELECT * FROM arcs",
     "entity_graph_expand": f"""WITH {_ARCS}, w AS (SELECT DISTINCT lower(source) AS s, lower(target) AS t, source, target, relation FROM arcs), st AS (SELECT DISTINCT s, t FROM w),
-n0 AS (SELECT DISTINCT source AS q, lower(source) AS n, 0 AS hop FROM arcs WHERE substr(md5(source), 1, 1) = '0'),
+n0 AS (SELECT DISTINCT source AS q, lower(source) AS n, 0 AS hop FROM arcs),
 n1 AS (SELECT DISTINCT q, t AS n, 1 AS hop FROM n0 JOIN st ON n0.n = st.s WHERE (q, t) NOT IN (SELECT (q, n) FROM n0)),
 n2 AS (SELECT DISTINCT q, t AS n, 2 AS hop FROM n1 JOIN st ON n1.n = st.s WHERE (q, t) NOT IN (SELECT (q, n) FROM n0) AND (q, t) NOT IN (SELECT (q, n) FROM n1)),
 nn AS (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2), fa AS (SELECT DISTINCT q, source, target, relation FROM nn JOIN w ON nn.n = w.s), fc AS (SELECT q, count(*) AS c FROM fa GROUP BY q)

@@ -185,15 +185,19 @@ def test_resolution_ways(spark):
 def test_fuzzy_equals_all_pairs(spark):
     rnd = random.Random(8)
     known = ["".join(rnd.choice("abcde") for _ in range(rnd.randrange(3, 12))) for _ in range(40)]
+    known += ["".join(rnd.choice("abcde ") for _ in range(n)) for n in (20, 33, 44, 47, 48, 49, 52, 60, 61, 80)]
     typed = []
     for k in known:
         i = rnd.randrange(len(k))
+        if len(k) > 18:
+            cut = set(rnd.sample(range(len(k)), rnd.randrange(1, len(k) // 6)))
+            typed += ["".join(c for j, c in enumerate(k) if j not in cut), "".join(c + ("z" if j in cut else "") for j, c in enumerate(k))]
         typed += [k[:i] + k[i + 1 :], k[:i] + "z" + k[i:], k]
     kn = spark.createDataFrame([(f"i{i:02}", k) for i, k in enumerate(known)], "id string, name string")
     got = {r.name: (r.id, round(r.ratio, 6)) for r in linking.fuzzy_match(spark.createDataFrame([(t,) for t in typed], "name string"), kn).collect()}
     for t in set(typed):
         best = min(((-linking.token_sort_ratio(t, k), f"i{i:02}") for i, k in enumerate(known)))
-        assert got.get(t) == ((best[1], round(-best[0], 6)) if t and -best[0] >= 88 else None), t
+        assert got.get(t) == ((best[1], round(-best[0], 6)) if t.strip() and -best[0] >= 88 else None), t
 
 
 def test_as_of_links(spark):
