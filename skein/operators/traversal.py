@@ -22,38 +22,46 @@ def propagate(starts: DataFrame, adj: DataFrame, node: DataFrame, vectors: DataF
     node's name.  The start is never tested; others need a score of the hop
     threshold.  At most ``propagation_max_nodes`` in breadth-first order: by hop,
     then the parent's order, kind of edge and id.  Starts that do not exist and
-    null vectors give a score of 0 and are kept only as starts.
+    null vectors give a score of 0 and are kept only as starts.  Starts may have
+    columns of the knobs' names, which then hold for them in place of ``config``.
     """
     key = ["query_id", "start_id"]
-    c = config
+    own = [k for k in ("propagation_decay", "propagation_hop_threshold", "propagation_max_depth", "propagation_max_nodes", "stub_penalty") if k in starts.columns]
+    knob = lambda k: F.col(k) if k in own else F.lit(getattr(config, k))
+    depth = config.propagation_max_depth
+    if "propagation_max_depth" in own:
+        depth = int(starts.agg(F.max("propagation_max_depth")).first()[0] or 0)
     known = node.join(vectors.select(F.col("id"), F.col("vec").alias("node_vec")), "id", "left")
-    base = starts.select("query_id", "start_id", "vec").dropDuplicates(key)
+    base = starts.select("query_id", "start_id", "vec", *own).dropDuplicates(key)
 
     def score(df: DataFrame, hop: int) -> DataFrame:
         raw = F.coalesce(cosine(F.col("vec"), F.col("node_vec")), F.lit(0.0))
-        return df.withColumn("intrinsic_score", raw).withColumn("hop", F.lit(hop)).withColumn("prop_score", decayed(F.col("intrinsic_score"), F.lit(hop), F.col("is_stub"), c.propagation_decay, c.stub_penalty))
+        return df.withColumn("intrinsic_score", raw).withColumn("hop", F.lit(hop)).withColumn("prop_score", decayed(F.col("intrinsic_score"), F.lit(hop), F.col("is_stub"), knob("propagation_decay"), knob("stub_penalty")))
 
     cols = ["query_id", "start_id", "node_id", "node_type", "name", "content", "is_stub", "hop", "ord", "intrinsic_score", "prop_score"]
     first = score(base.join(known.withColumnRenamed("id", "start_id"), "start_id").withColumn("node_id", F.col("start_id")).withColumn("ord", F.lit(1)), 0)
     accepted = stage(first.select(*cols), "accepted")
     seen = accepted.select(*key, "node_id")
     frontier = accepted.select(*key, F.col("node_id").alias("src"), F.col("ord").alias("parent_ord"))
-    for hop in range(1, c.propagation_max_depth + 1):
+    for hop in range(1, depth + 1):
         w = Window.partitionBy(*key).orderBy("parent_ord", "kind_ord", "node_id")
         step = frontier.join(adj.withColumnRenamed("dst", "node_id"), "src")
         new = step.groupBy(*key, "node_id").agg(F.min(F.struct("parent_ord", "kind_ord")).alias("p")).select(*key, "node_id", "p.*").join(seen, [*key, "node_id"], "left_anti")
         ranked = score(new.join(known.withColumnRenamed("id", "node_id"), "node_id").join(base, key), hop)
-        level = stage(ranked.select(*key, "node_id", "parent_ord", "kind_ord", "node_type", "name", "content", "is_stub", "hop", "intrinsic_score", "prop_score"), "level")
-        kept = level.filter(F.col("prop_score") >= c.propagation_hop_threshold).withColumn("ord", F.row_number().over(w)).filter(F.col("ord") <= c.propagation_max_nodes)
+        level = stage(ranked.filter(knob("propagation_max_depth") >= hop).select(*key, "node_id", "parent_ord", "kind_ord", "node_type", "name", "content", "is_stub", "hop", "intrinsic_score", "prop_score", *own), "level")
+        kept = level.filter(F.col("prop_score") >= knob("propagation_hop_threshold")).withColumn("ord", F.row_number().over(w)).filter(F.col("ord") <= knob("propagation_max_nodes"))
         kept = stage(kept.select(*cols), "kept")
         if kept.isEmpty():
             break
         seen = seen.unionByName(level.select(*key, "node_id"))
         accepted = accepted.unionByName(kept)
-        full = accepted.groupBy(*key).count().filter(F.col("count") >= c.propagation_max_nodes).select(*key)
+        full = accepted.groupBy(*key).count().join(base, key).filter(F.col("count") >= knob("propagation_max_nodes")).select(*key)
         frontier = kept.join(full, key, "left_anti").select(*key, F.col("node_id").alias("src"), F.col("ord").alias("parent_ord"))
     w = Window.partitionBy(*key).orderBy("hop", "ord")
-    return accepted.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= c.propagation_max_nodes)
+    placed = accepted.withColumn("place", F.row_number().over(w))
+    if own:
+        placed = placed.join(base.select(*key, *own), key)
+    return placed.filter(F.col("place") <= knob("propagation_max_nodes")).drop(*own)
 
 
 def merge_best(propagated: DataFrame) -> DataFrame:

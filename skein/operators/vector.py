@@ -29,7 +29,7 @@ def _query_blocks(part: list) -> list[tuple[np.ndarray, np.ndarray]]:
     for i, v in part:
         by_size.setdefault(len(v), []).append((i, v))
     cut = [x[at : at + BLOCK] for x in by_size.values() for at in range(0, len(x), BLOCK)]
-    return [(np.array([i for i, _ in x]), np.array([v for _, v in x], dtype=float)) for x in cut]
+    return [(np.array([i for i, _ in x], dtype=object), np.array([v for _, v in x], dtype=float)) for x in cut]
 
 
 def _block_top(m: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,12 +84,12 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, floor: float | None = Non
                     continue
                 parts = [best] if len(best) else []
                 for _, g in b.groupby(b["vec"].map(len)):
-                    m, names = np.stack(g["vec"].to_numpy()).astype(float), g["id"].to_numpy()
+                    m, names = np.stack(g["vec"].to_numpy()).astype(float), g["id"].to_numpy(dtype=object)
                     for ids, q in blocks:
                         r, c, score = _block_top(m, q, k)
                         parts.append(pd.DataFrame({"query_id": ids[c], "id": names[r], "score": score}))
                 best = pd.concat(parts).sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            yield best.astype({"score": float})
+            yield best.astype({"query_id": object, "id": object, "score": float})
 
         found = rows.select("id", F.col("vec").cast("array<double>").alias("vec")).mapInPandas(search, f"query_id {q_type}, id {id_type}, score double")
         out = found if out is None else out.unionByName(found)

@@ -65,17 +65,11 @@ def eval_top_bottom(spark: SparkSession, d: str) -> DataFrame:
     return ev.top_bottom(r)
 
 
-def eval_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """Every query of the score table under every configuration, in one job."""
-    s = table(spark, d, "prop_node").filter("query_id is not null and intrinsic_score is not null and hop is not null").select("query_id", "intrinsic_score", "hop", F.coalesce("is_stub", F.lit(False)).alias("is_stub"))
-    return ev.sweep_scores(ev.build_configs(spark), s).groupBy("config").agg(F.sum("n").alias("n"), F.round(F.avg("best"), 6).alias("mean_best"))
-
-
 def eval_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "query_result").groupBy("question_type").agg(F.count("*").alias("n"))
 
 
-_NAMES = ("eval_summary", "eval_type_table", "eval_run_scores", "eval_histogram", "eval_tier_timing", "eval_spread", "eval_versus_baseline", "eval_top_bottom", "eval_sweep", "eval_counts")
+_NAMES = ("eval_summary", "eval_type_table", "eval_run_scores", "eval_histogram", "eval_tier_timing", "eval_spread", "eval_versus_baseline", "eval_top_bottom", "eval_counts")
 QUERIES = {n: globals()[n] for n in _NAMES}
 _M = _SCALAR["fn_answer_metrics"].replace("SELECT result_id, round(rc, 6) AS recall", "SELECT method_name, question_type, latency_ms, coalesce(trim(error), '') <> '' AS failed, round(rc, 6) AS recall")
 _M = _M.replace("round(CASE WHEN b > 0", "(CASE WHEN b > 0").replace("END::DOUBLE, 6) AS f1", "END::DOUBLE) AS f1")

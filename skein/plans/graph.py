@@ -220,5 +220,12 @@ SELECT id, name, coalesce(nullif(entity_type, ''), 'Unknown') AS node_type, coal
     "graph_peopled_events": f"WITH {_EVT} SELECT id, array_to_string(list_transform(participants, lambda p: coalesce(p, '')), '; ') AS who FROM evt WHERE len(participants) > 0",
     "vector_top_k": f"SELECT * FROM ({_TOPK}) WHERE rank <= 5",
     "vector_floor": f"SELECT * FROM ({_TOPK}) WHERE rank <= 8 AND score >= 0.35",
+    "graph_propagate_metrics": _PROP + _hop(1) + _hop(2) + _hop(3) + _hop(4) + """,
+m AS (SELECT a.*, node.node_type, node.name, node.is_stub, prop_score / (pow(0.9, hop) * CASE WHEN node.is_stub THEN 0.5 ELSE 1 END) AS own
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, start_id ORDER BY hop, ord) AS pl FROM all4) a JOIN node ON node.id = a.node_id WHERE pl <= 25),
+h AS (SELECT query_id, string_agg('h' || hop || ':' || n, ' ' ORDER BY hop) AS nodes_per_hop FROM (SELECT query_id, hop, count(*) AS n FROM m GROUP BY ALL) GROUP BY query_id)
+SELECT query_id, count(*) AS n_nodes, round(avg(prop_score), 4) AS avg_prop, round(max(prop_score), 4) AS max_prop, round(min(prop_score), 4) AS min_prop, round(avg(own), 4) AS avg_intrinsic, count(*) FILTER (is_stub) AS n_stubs,
+  round(count(*) FILTER (is_stub) / count(*), 3) AS stub_ratio, max(hop)::INT AS max_hop, count(*) FILTER (node_type = 'entity') AS n_entities, count(*) FILTER (node_type = 'event') AS n_events, count(DISTINCT name) AS n_names, any_value(nodes_per_hop) AS nodes_per_hop
+FROM m JOIN h USING (query_id) GROUP BY query_id""",
     "graph_propagate": _PROP + _hop(1) + _hop(2) + _hop(3) + _hop(4) + " SELECT query_id, start_id, node_id, hop, round(prop_score, 6) AS prop_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id, start_id ORDER BY hop, ord) AS pl FROM all4) WHERE pl <= 25",
 }

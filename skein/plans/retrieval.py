@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skein.config import RetrievalConfig
 from skein.functions import text
 from skein.functions.ids import pathway_id
-from skein.operators import cascade, entity_graph, graph, grep, methods, traversal, upsert
+from skein.operators import cascade, entity_graph, graph, grep, methods, sweep, traversal, upsert
 from skein.plans.graph import _EDGE, _ENT, _EVT, Graph
 from skein.plans.ingest import _CHUNK
 from skein.plans.scalar import _DNS, _UUID, _atok, _join, _tok
@@ -90,6 +90,12 @@ def method_contexts(spark: SparkSession, d: str) -> DataFrame:
     return c.select("method_name", "query_id", F.length("context").alias("n"), F.md5("context").alias("context"))
 
 
+def eval_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """The stated questions through the cascade under every configuration of the sweep."""
+    runs = sweep.sweep(Graph(spark, d).mixed_questions(), _stores(spark, d), sweep.build_configs(spark))
+    return runs.select("config", "query_id", "source", F.round("confidence", 6).alias("confidence"), "hits", "chars", "nodes", F.round("score", 4).alias("score"))
+
+
 def chunk_index(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents with ids and vectors."""
     return methods.index_chunks(table(spark, d, "documents")).select("id", "chapter", "chunk_idx", F.size("vec").alias("dim"))
@@ -143,7 +149,7 @@ def upsert_facts(spark: SparkSession, d: str) -> DataFrame:
     return upsert.store_facts(empty, e).select("id", "seq", "document_id")
 
 
-_NAMES = ("grep_records", "grep_questions", "pathway_backfill", "cascade_answers", "cascade_tier1", "method_contexts", "chunk_index", "entity_graph_arcs", "entity_graph_seeds", "entity_graph_expand", "upsert_mentions", "upsert_documents", "upsert_facts")
+_NAMES = ("grep_records", "grep_questions", "pathway_backfill", "cascade_answers", "cascade_tier1", "method_contexts", "eval_sweep", "chunk_index", "entity_graph_arcs", "entity_graph_seeds", "entity_graph_expand", "upsert_mentions", "upsert_documents", "upsert_facts")
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 

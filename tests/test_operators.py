@@ -7,7 +7,7 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from skein.config import RetrievalConfig
-from skein.operators import annotate, cascade, entity_graph, evaluation, graph, grep, linking, segments, traversal, upsert, vector
+from skein.operators import annotate, cascade, entity_graph, evaluation, graph, grep, linking, segments, sweep, traversal, upsert, vector
 
 
 def test_top_k_ties_zero_vectors_and_lengths(spark):
@@ -230,12 +230,34 @@ def test_search_names(spark):
     assert rows(graph.search_entities(q, ents), "query_id", "entity_id", "rank") == [(1, "a", 1), (1, "b", 2), (2, "d", 1)]
 
 
-def test_sweep(spark):
-    c = evaluation.build_configs(spark)
-    assert c.count() == 180 and c.filter("config = 'baseline'").first().propagation_decay == 0.9
-    s = spark.createDataFrame([(1, 0.5, 0, False), (1, 0.4, 1, True), (1, 0.5, 9, False)], "query_id int, intrinsic_score double, hop int, is_stub boolean")
-    got = {r.config: r for r in evaluation.sweep_scores(c, s).collect()}
-    assert got["baseline"].n == 1 and got["stub_penalty=1.0"].n == 2 and got["propagation_max_depth=9.0"].n >= 1
+def test_sweep_follows_the_cascade(spark):
+    from dataclasses import replace
+
+    c = sweep.build_configs(spark)
+    base = c.filter("config = 'baseline'").first()
+    assert base.propagation_decay == 0.9 and c.select("config").distinct().count() == c.count() > 60
+    assert all(c.filter(f"param = '{k}'").count() >= 4 for k in sweep.KNOBS)
+    names = [("a", "Ann", False), ("b", "Bob", False), ("c", "Cid", True), ("d", "Dee", False)]
+    nodes = spark.createDataFrame([(i, "entity", n, f"about {n}", st) for i, n, st in names], "id string, node_type string, name string, content string, is_stub boolean")
+    vec = {"a": [1.0, 0.0], "b": [0.8, 0.6], "c": [0.6, 0.8], "d": [0.9, 0.1]}
+    vectors = spark.createDataFrame(list(vec.items()), "id string, vec array<double>")
+    adj = graph.adjacency(spark.createDataFrame([(x, y, "CAUSES") for x, y in ("ab", "bc", "cd")], "src string, dst string, kind string"))
+    fact = "id string, text string, user_id string, pathway array<string>, vec array<double>"
+    facts = spark.createDataFrame([("f1", "Entity: Ann | Type: x", "app_user", [], [0.7, 0.7]), ("f2", "plain words", "app_user", [], [0.2, 1.0])], fact)
+    paths = spark.createDataFrame([("p", ["a", "b"], [0.5, 0.8])], "id string, pathway array<string>, vec array<double>")
+    ents = spark.createDataFrame(names, "id string, name string, is_stub boolean")
+    records = spark.createDataFrame([("r", "stone bridge")], "stem string, content string")
+    s = cascade.Stores(nodes, adj, ents, vectors, facts, paths, records)
+    q = spark.createDataFrame([(1, "xx", [1.0, 0.0]), (2, "stone bridge", [-1.0, -0.2]), (3, "ann", [0.0, 1.0]), (4, None, [-1.0, -0.2])], "query_id int, text string, vec array<double>")
+    some = c.filter("config in ('baseline', 'propagation_max_depth=1', 'entry:open+reach:open+weight:closed')")
+    got = {(r.config, r.query_id): r for r in sweep.sweep(q, s, some).collect()}
+    assert len(got) == 4 * some.count() == 12 and {r.source for r in got.values()} >= {"tier1", "tier2", "miss"}
+    for r in some.collect():
+        knobs = {k: type(getattr(RetrievalConfig(), k))(r[k]) for k in sweep.KNOBS}
+        want = cascade.retrieve(q, s, replace(RetrievalConfig(), **knobs)).answers.collect()
+        for w in want:
+            g = got[r.config, w.query_id]
+            assert (g.source, round(g.confidence, 9)) == (w.source, round(w.confidence, 9)), (r.config, w, g)
     assert "| a |" in evaluation.report(spark.createDataFrame([(1,)], "a int").collect(), "x") and evaluation.report([], "x")
 
 
