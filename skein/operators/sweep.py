@@ -55,6 +55,11 @@ def build_configs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(made, "config string, param string, value double, " + ", ".join(f"{k} double" for k in KNOBS))
 
 
+def coverage(runs: DataFrame) -> DataFrame:
+    """One row over the runs of a sweep that reached the graph: nodes on average, at most, at least, and how many runs."""
+    return runs.filter("nodes > 0").agg(F.round(F.avg("nodes"), 4).alias("mean_nodes"), F.max("nodes").alias("most_nodes"), F.min("nodes").alias("least_nodes"), F.count("*").alias("n_runs"))
+
+
 def sweep(queries: DataFrame, s: cascade.Stores, configs: DataFrame) -> DataFrame:
     """(config, query_id, source, confidence, hits, chars, nodes, score) of every query under every configuration.
 

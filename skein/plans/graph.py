@@ -93,13 +93,6 @@ def graph_shared_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_two_hops(spark: SparkSession, d: str) -> DataFrame:
-    """How many nodes lie within two undirected steps of each cause."""
-    g = Graph(spark, d)
-    ids = g.edges.filter("kind = 'CAUSES'").select(C("src").alias("id")).distinct()
-    return graph.hops(ids, g.edges.filter("kind in ('CAUSES', 'PRECEDES')")).groupBy("id").agg(F.count("*").alias("n"))
-
-
-def graph_two_hops_all(spark: SparkSession, d: str) -> DataFrame:
     """How many nodes lie within two undirected steps of each entity and event, over all kinds of edges."""
     return graph.hop_counts(stage(Graph(spark, d).edges, "edges"))
 
@@ -195,7 +188,7 @@ start AS (SELECT r.result_id AS query_id, start_id, e.embedding AS vec FROM quer
 acc0 AS (SELECT query_id, start_id, start_id AS node_id, 0 AS hop, list_cosine_similarity(start.vec::DOUBLE[], vec.vec::DOUBLE[]) * CASE WHEN node.is_stub THEN 0.5 ELSE 1 END AS prop_score, 1 AS ord FROM start JOIN vec ON vec.id = start_id JOIN node ON node.id = start_id),
 raw0 AS (SELECT * FROM acc0), all0 AS (SELECT * FROM acc0)"""
 
-_NAMES = ("graph_edges", "graph_nodes", "graph_label_counts", "graph_neighbours", "graph_lookup", "graph_fetch_pathway", "graph_search_names", "graph_shared_events", "graph_two_hops", "graph_two_hops_all", "graph_descriptions", "graph_known_names", "graph_peopled_events", "vector_top_k", "vector_floor", "graph_propagate", "graph_propagate_metrics")
+_NAMES = ("graph_edges", "graph_nodes", "graph_label_counts", "graph_neighbours", "graph_lookup", "graph_fetch_pathway", "graph_search_names", "graph_shared_events", "graph_two_hops", "graph_descriptions", "graph_known_names", "graph_peopled_events", "vector_top_k", "vector_floor", "graph_propagate", "graph_propagate_metrics")
 QUERIES = {n: globals()[n] for n in _NAMES}
 _TOPK = """SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id)::INT AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0"""
@@ -212,8 +205,8 @@ p AS (SELECT key, src AS id, r AS pos FROM t WHERE r <= 3 UNION ALL SELECT DISTI
 h AS (SELECT input_name, id, is_stub, min(is_stub::INT) OVER (PARTITION BY input_name) AS l FROM q, ent WHERE len(tokens) > 0 AND name IS NOT NULL AND len(list_filter(tokens, lambda t: NOT contains(lower(name), t))) = 0),
 r AS (SELECT input_name AS query_id, id AS entity_id, row_number() OVER (PARTITION BY input_name ORDER BY id)::INT AS rank FROM h WHERE is_stub::INT = l) SELECT * FROM r WHERE rank <= 3""",
     "graph_shared_events": f"WITH {_EDGE} SELECT DISTINCT coalesce(ent.entity_type, '?') AS key, evt.id, coalesce(evt.temporal_order, 0) AS temporal_order FROM who JOIN ent ON ent.id = who.src JOIN evt ON evt.id = who.dst",
-    "graph_two_hops": f"""WITH {_EDGE}, u AS (SELECT src, dst FROM cau UNION SELECT dst, src FROM cau UNION SELECT src, dst FROM pre UNION SELECT dst, src FROM pre)
-SELECT a.src AS id, count(DISTINCT b.dst) AS n FROM u a JOIN u b ON a.dst = b.src WHERE a.src <> b.dst AND a.src IN (SELECT src FROM cau) GROUP BY a.src""",
+    "graph_two_hops": f"""WITH {_EDGE}, u AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge)
+SELECT a.src AS id, count(DISTINCT b.dst) AS n FROM u a JOIN u b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY a.src""",
     "graph_descriptions": f"""WITH {_ENT}, f AS (SELECT *, list_filter(list_slice(json_keys(props), 1, 4), lambda k: coalesce(json_extract_string(props, '$."' || k || '"'), '') <> '') AS ks FROM ent)
 SELECT id, name, coalesce(nullif(entity_type, ''), 'Unknown') AS node_type, coalesce(nullif(props->>'description', ''), nullif(props->>'summary', ''), array_to_string(list_transform(ks, lambda k: k || ': ' || json_extract_string(props, '$."' || k || '"')), '; ')) AS description FROM f""",
     "graph_known_names": f"WITH {_ENT} SELECT id, name FROM ent WHERE NOT is_stub",

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.config import RetrievalConfig
-from skein.functions import text
-from skein.functions.ids import pathway_id
-from skein.operators import cascade, entity_graph, graph, grep, methods, sweep, traversal, upsert
+from skein.operators import cascade, entity_graph, graph, grep, memory, methods, sweep, traversal, upsert
 from skein.plans.graph import _EDGE, _ENT, _EVT, Graph
 from skein.plans.ingest import _CHUNK
+from skein.plans.scalar import ORACLE as _SCALAR
 from skein.plans.scalar import _DNS, _UUID, _atok, _join, _tok
 from skein.session import stage, table
 
@@ -41,12 +40,14 @@ def grep_questions(spark: SparkSession, d: str) -> DataFrame:
 def pathway_backfill(spark: SparkSession, d: str) -> DataFrame:
     """Pathways of all events: key-term variants with the event and its participants."""
     g = Graph(spark, d)
-    paths = graph.first_participants(g.edges)
-    v = text.event_variants(C("participants"), C("action"), C("outcome"), C("locations"), C("title"), C("summary"))
-    terms = g.events.select("id", F.explode(v).alias("v")).select("id", "v.variant", C("v.terms").alias("key_terms"))
-    p = terms.join(paths, terms["id"] == paths["event_id"], "left").select("key_terms", F.concat(F.array("id"), F.coalesce("entity_ids", F.array().cast("array<string>"))).alias("pathway"), F.concat("id", F.lit(":"), "variant").alias("seq"))
-    last = p.withColumn("pid", pathway_id(C("key_terms"))).groupBy("pid").agg(F.max_by(F.struct("key_terms", "pathway"), "seq").alias("r"))
-    return last.select("pid", "r.key_terms", F.array_join("r.pathway", " ").alias("pathway"))
+    last = memory.latest_pathways(memory.event_pathways(g.events, graph.first_participants(g.edges)))
+    return last.select(C("id").alias("pid"), "key_terms", F.array_join("pathway", " ").alias("pathway"))
+
+
+def pathway_backfill_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Pathways of all entities: names with types, with properties, and aliases."""
+    last = memory.latest_pathways(memory.entity_pathways(Graph(spark, d).entities))
+    return last.select(C("id").alias("pid"), "key_terms", F.array_join("pathway", " ").alias("pathway"))
 
 
 def _stores(spark: SparkSession, d: str) -> cascade.Stores:
@@ -149,7 +150,7 @@ def upsert_facts(spark: SparkSession, d: str) -> DataFrame:
     return upsert.store_facts(empty, e).select("id", "seq", "document_id")
 
 
-_NAMES = ("grep_records", "grep_questions", "pathway_backfill", "cascade_answers", "cascade_tier1", "method_contexts", "eval_sweep", "chunk_index", "entity_graph_arcs", "entity_graph_seeds", "entity_graph_expand", "upsert_mentions", "upsert_documents", "upsert_facts")
+_NAMES = ("grep_records", "grep_questions", "pathway_backfill", "pathway_backfill_entities", "cascade_answers", "cascade_tier1", "method_contexts", "eval_sweep", "chunk_index", "entity_graph_arcs", "entity_graph_seeds", "entity_graph_expand", "upsert_mentions", "upsert_documents", "upsert_facts")
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 
@@ -181,6 +182,8 @@ u AS (SELECT id, 'who_what' AS variant, p || a AS x FROM t UNION ALL SELECT id,
 k AS (SELECT id, id || ':' || variant AS seq, {_join('x')} AS key_terms FROM u WHERE len(x) > 0),
 f AS (SELECT dst, list(src ORDER BY src) AS ids FROM (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY src) AS r FROM who) WHERE r <= 3 GROUP BY dst),
 z AS (SELECT {_PUUID} AS pid, key_terms, array_to_string([id] || coalesce(ids, []::VARCHAR[]), ' ') AS pathway, seq FROM k LEFT JOIN f ON f.dst = k.id)
+SELECT DISTINCT ON (pid) pid, key_terms, pathway FROM z ORDER BY pid, seq DESC""",
+    "pathway_backfill_entities": f"""WITH w AS ({_SCALAR['fn_entity_variants']}), k AS (SELECT id, id || ':' || variant AS seq, terms AS key_terms FROM w), z AS (SELECT {_PUUID} AS pid, key_terms, id AS pathway, seq FROM k)
 SELECT DISTINCT ON (pid) pid, key_terms, pathway FROM z ORDER BY pid, seq DESC""",
     "entity_graph_arcs": f"WITH {_ARCS} SELECT * FROM arcs",
     "entity_graph_expand": f"""WITH {_ARCS}, w AS (SELECT DISTINCT lower(source) AS s, lower(target) AS t, source, target, relation FROM arcs), st AS (SELECT DISTINCT s, t FROM w),

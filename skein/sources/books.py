@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import html as _html
 import io
+import os
 import posixpath
 import re
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from skein.functions.ids import stable_doc_id
 from skein.functions.text import blank_to_null, body_of, clean_book_text, strip_credits, strip_html, word_count
 from skein.operators.evaluation import QUESTION_TYPES
+from skein.session import stage
 
 #: Least words of a chapter that is taken in.
 MIN_WORDS = 100
@@ -114,7 +117,7 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (name, type, description) and arcs (source, target, relation) of a JSON graph."""
     schema = "nodes array<struct<name:string,type:string,description:string>>, edges array<struct<source:string,target:string,relation:string>>"
     try:
-        raw = spark.read.schema(schema).json(path, multiLine=True)
+        raw = spark.read.schema(schema).json(path, multiLine=path.endswith(".json"))
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
@@ -123,9 +126,10 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def write_graph(nodes: DataFrame, arcs: DataFrame, path: str) -> None:
-    """Nodes and arcs as JSON lines in two folders."""
-    nodes.write.mode("overwrite").json(f"{path}/nodes")
-    arcs.write.mode("overwrite").json(f"{path}/edges")
+    """Nodes and arcs as JSON lines, one of a kind per line, in one folder that ``read_graph`` reads back."""
+    n = nodes.select(F.to_json(F.struct(F.array(F.struct("name", "type", "description")).alias("nodes"))).alias("value"))
+    e = arcs.select(F.to_json(F.struct(F.array(F.struct("source", "target", "relation")).alias("edges"))).alias("value"))
+    n.unionByName(e).write.mode("overwrite").text(path)
 
 
 QUESTION = "question string, expected_answer string, retrieval_anchor string, question_type string, source_doc_id bigint"
@@ -138,6 +142,16 @@ def read_questions(spark: SparkSession, path: str, limit: int | None = None) ->
     return q if limit is None else q.filter(F.col("position") < limit)
 
 
+def write_questions(questions: DataFrame, path: str, append: bool = False) -> None:
+    """Questions as JSON lines in a folder; ``append`` keeps those that lie there."""
+    questions.select(*[c.split()[0] for c in QUESTION.split(", ")]).write.mode("append" if append else "overwrite").json(path)
+
+
+def read_question_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Questions that ``write_questions`` wrote."""
+    return spark.read.schema(QUESTION).json(path)
+
+
 def parse_generated(responses: DataFrame) -> DataFrame:
     """Questions in model responses (chapter, response): the first bracketed array.
 
@@ -189,3 +203,26 @@ def update_records(current: DataFrame, entries: DataFrame) -> DataFrame:
 def write_records(records: DataFrame, path: str) -> None:
     """Record texts partitioned by type, one row per record."""
     records.write.mode("overwrite").partitionBy("type").parquet(path)
+
+
+def write_markdown(records: DataFrame, folder: str) -> DataFrame:
+    """One Markdown file per record below ``folder``/type, which all executors can write; (stem, ok) of each.
+
+    A file is written beside its place and moved there, so a task that runs again
+    leaves whole files.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for kind, stem, content in zip(b["type"], b["stem"], b["content"]):
+                place = os.path.join(folder, kind)
+                os.makedirs(place, exist_ok=True)
+                beside = os.path.join(place, f".{stem}.{uuid.uuid4().hex}")
+                with open(beside, "w", encoding="utf-8") as f:
+                    f.write(content)
+                os.replace(beside, os.path.join(place, f"{stem}.md"))
+            yield pd.DataFrame({"stem": b["stem"], "ok": True})
+
+    slug = lambda c: F.regexp_replace(F.coalesce(c, F.lit("unknown")), r"[^\p{L}\p{N}_-]+", "_")
+    out = records.select(slug(F.col("type")).alias("type"), slug(F.col("name")).alias("stem"), "content").mapInPandas(run, "stem string, ok boolean")
+    return stage(out, "written")

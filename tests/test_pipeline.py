@@ -6,7 +6,9 @@ from helpers import rows
 from pyspark.sql import functions as F
 
 from skein.functions import hooks
-from skein.operators import methods, pipeline, upsert
+from skein.functions.vectors import embedder
+from skein.operators import cascade, memory, methods, pipeline, segments, upsert
+from skein.sources import books
 from test_operators import stores
 
 TEXT = "Ann Lee opened the great gates near Old Mill Bridge. Bob Ray watched the gates with Ann Lee for a long while.\n\nBob Ray counted the heavy carts outside Old Mill Bridge, and Ann Lee wanted to leave the city at once."
@@ -37,6 +39,38 @@ def test_ingest_twice_adds_nothing(spark):
     assert spark.sql("select count(*) from kg_events").first()[0] == s.events
 
 
+def test_an_ingested_document_is_answered(spark):
+    day = F.lit("2026-01-01").cast("date")
+    g0 = pipeline.empty_graph(spark)
+    g1, _ = pipeline.ingest(docs(spark), g0, day)
+    m1 = memory.remember(memory.empty_memory(spark), g0, g1, day)
+    texts = {r.text for r in m1.facts.collect()}
+    assert any(t.startswith("Event: Ann Lee open | ") for t in texts) and "Entity: Old Mill Bridge | Type: location" in texts
+    rec = {r.name: r.content for r in m1.records.collect()}
+    assert "### 2026-01-01" in rec["Ann Lee"] and books.SENTINEL in rec["Ann Lee"]
+    assert m1.pathways.filter(F.size("pathway") > 1).count() > 0 and m1.pathways.filter("seq like 'evt%'").count() > 0
+    again = memory.remember(m1, g1, g1, day)
+    assert rows(again.facts, "id") == rows(m1.facts, "id") and rows(again.records, "content") == rows(m1.records, "content")
+    forced = memory.remember(m1, g1, g1, day, force=True, consolidate=lambda p: "NONE")
+    assert rows(forced.facts, "id") == rows(m1.facts, "id") and rows(forced.pathways, "id") == rows(m1.pathways, "id")
+    q = spark.createDataFrame([(1, "Ann Lee")], "query_id int, text string").withColumn("vec", embedder()(F.col("text")))
+    a = cascade.retrieve(q, memory.stores(g1, m1))
+    got = a.answers.first()
+    assert got.source != "miss" and any("gates" in h for h in got.hits)
+    m2 = memory.write_back(m1, a, "answers-1")
+    assert m2.pathways.count() == m1.pathways.count() + a.new_pathways.count() and m2.facts.count() == m1.facts.count() + a.new_facts.count()
+    spilled = m1.facts.unionByName(m1.pathways.filter("seq like 'evt%'").select("id", F.col("key_terms").alias("text"), "seq", F.lit("x").alias("user_id"), "pathway", "vec"))
+    assert rows(memory.forget_spilled(spilled, g1.events), "id") == rows(m1.facts, "id")
+
+
+def test_modes_of_segments(spark):
+    d = spark.createDataFrame([(1, "The cat sat here. " * 12 + "Stone bridges fell. " * 12), (2, None)], "doc_id bigint, text string")
+    assert segments.segment(d, "semantic").count() >= 1
+    told = segments.segment(d, "llm", model=lambda p: "The first scene is this one." + segments.MARK + "And this is the second scene.")
+    assert [r.segment_id for r in told.filter("doc_id = 1").orderBy("segment_id").collect()] == [0, 1]
+    assert rows(segments.segment(d, "llm")) == rows(segments.segment(d, "semantic"))
+
+
 def test_empty_ingest(spark):
     g, r = pipeline.ingest(docs(spark).limit(0), pipeline.empty_graph(spark))
     assert g.events.count() == 0 and g.edges.count() == 0 and r.count() == 0
@@ -114,7 +148,7 @@ def test_method_contexts_runs_every_method(monkeypatch, spark):
 def test_expansion_from_every_source_against_brute_force(spark):
     from skein.plans import registry, retrieval
 
-    assert "entity_graph_expand_all" in registry.queries()
+    assert "entity_graph_expand" in registry.queries()
     arcs = {(f"N{a}", f"n{b}" if b % 3 else f"N{b}", "R") for a in range(14) for b in range(14) if a != b and (a * 7 + b * 5) % 11 == 0} | {("n1", "N2", "S"), ("N1", "End", "R")}
     want = set()
     for s in {a[0] for a in arcs}:
@@ -131,7 +165,7 @@ def test_two_hops_of_all_kinds_against_pairs(spark):
     from skein.operators import graph
     from skein.plans import registry
 
-    assert "graph_two_hops_all" in registry.queries()
+    assert "graph_two_hops" in registry.queries()
     edge = [("p", f"e{i}", "PARTICIPANT_IN") for i in range(9)] + [(f"e{i}", f"l{i % 2}", "LOCATED_AT") for i in range(9)] + [("e1", "e2", "CAUSES"), ("e2", "e1", "CAUSES"), ("e3", "e3", "CAUSES"), ("q", "e4", "PARTICIPANT_IN"), ("x", "y", "PRECEDES")]
     df = spark.createDataFrame(edge, "src string, dst string, kind string")
     ids = df.select(F.col("src").alias("id")).union(df.select("dst")).distinct()

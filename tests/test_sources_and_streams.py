@@ -94,3 +94,13 @@ def test_link_stream_and_queue(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")), "from_id", "to_id") == [("o", "n")]
     q = spark.createDataFrame([("x", True), ("y", None)], "input_name string, is_ambiguous boolean")
     assert rows(ingest.review_queue(q), "input_name") == [("x",)]
+
+
+def test_markdown_and_question_files(spark, tmp_path):
+    r = spark.createDataFrame([("person", "Ann Lee", "---\nname: Ann Lee\n---\nbody"), (None, "a/b", "x")], "type string, name string, content string")
+    assert books.write_markdown(r, str(tmp_path / "md")).count() == 2 and books.write_markdown(r, str(tmp_path / "md")).count() == 2
+    assert rows(books.read_records(spark, str(tmp_path / "md")), "stem") == [("Ann_Lee",), ("a_b",)]
+    q = spark.createDataFrame([("q", "a", "b", "cross_entity", 1)], books.QUESTION)
+    for append, n in ((False, 1), (True, 2), (False, 1)):
+        books.write_questions(q, str(tmp_path / "q"), append)
+        assert books.read_question_lines(spark, str(tmp_path / "q")).count() == n
