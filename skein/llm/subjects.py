@@ -42,6 +42,8 @@ VOCABULARY_BYTES = 64 << 20
 LEAST_DOCS, LEAST_SHARE, PURE, LEAD = 4, 1e-4, 0.55, 2.5
 #: The same of the first lexicon, which is learned from labels that may be wrong.
 FIRST_LEAST, FIRST_PURE, FIRST_LEAD = 2, 0.45, 2.0
+#: Pairs that the first guess is worth in the counts of the latent model.
+ANCHOR = 500.0
 #: Least posterior probability of an assigned subject.
 POSTERIOR = 0.5
 
@@ -312,11 +314,14 @@ def latent_accuracies(patterns: np.ndarray, counts: np.ndarray, start: np.ndarra
 
     ``patterns``: one row per pattern, one column per labelling function with its
     vote as a small integer.  Expectation maximisation of a two-class model in
-    which functions vote independently given the class, from ``start``.  Patterns
+    which functions vote independently given the class, from ``start``, which also
+    stays in the counts like ``ANCHOR`` pairs, so that few documents do not turn the
+    classes round.  Patterns
     in ``never`` are known not to be of the class and hold it at 0.
     """
     never = np.zeros(len(patterns), dtype=bool) if never is None else never
     post = np.where(never, 0.0, start.astype(float))
+    begun = [ANCHOR * counts / max(counts.sum(), 1) * p for p in (1 - post, post)]
     sizes = patterns.max(axis=0) + 1 if len(patterns) else []
     for _ in range(rounds):
         log = np.zeros((len(patterns), 2))
@@ -324,7 +329,7 @@ def latent_accuracies(patterns: np.ndarray, counts: np.ndarray, start: np.ndarra
             weight = counts * p
             log[:, c] = np.log(weight.sum() + 1e-9)
             for j, k in enumerate(sizes):
-                n = np.bincount(patterns[:, j], weights=weight, minlength=k) + 0.1
+                n = np.bincount(patterns[:, j], weights=weight + begun[c], minlength=k) + 0.1
                 log[:, c] += np.log(n / n.sum())[patterns[:, j]]
         new = np.where(never, 0.0, 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -60, 60))))
         if np.abs(new - post).max() < 1e-9:
@@ -377,7 +382,7 @@ def subject_posteriors(documents: DataFrame, labels: DataFrame, growing: int = G
     if not seen:
         return none
     patterns = np.array([[r[k] for k in names] for r in seen])
-    post = latent_accuracies(patterns, np.array([r["count"] for r in seen], dtype=float), np.where(patterns[:, 0] >= 4, 0.95, 0.05), never=patterns[:, 0] <= 2)
+    post = latent_accuracies(patterns, np.array([r["count"] for r in seen], dtype=float), np.select([patterns[:, 0] >= 4, patterns[:, 0] == 3], [0.95, 0.5], 0.05), never=patterns[:, 0] <= 2)
     model = spark.createDataFrame([(*map(int, p), float(x)) for p, x in zip(patterns, post)], ", ".join(f"{k} int" for k in names) + ", posterior double")
     return full.join(F.broadcast(model), names).select("doc_id", "subject", "share", F.col("n").alias("n_sentences"), "posterior")
 
