@@ -292,9 +292,9 @@ class EventHistory:
         column = self.TABLES[name][0]
         rows = self.spark.table(self._table(name)).filter(F.col("part").isin(self._parts)).drop("part")
         if wanted is not None:
-            few = [r[0] for r in wanted.select(column).distinct().limit(self.buckets).collect()]
+            few = [r[0] for r in wanted.select(column).take(self.buckets)]
             if len(few) < self.buckets:
-                rows = rows.filter(F.col(column).isin(few))
+                rows = rows.filter(F.col(column).isin(sorted(set(few))))
         return rows
 
     def ingest(self, batch: DataFrame) -> DataFrame:
