@@ -13,9 +13,12 @@ from pyspark.sql.types import DoubleType
 
 from skein.functions.text import normalize_name
 from skein.operators import graph, vector
+from skein.session import stage
 
 #: Letters of a known name up to which it is found by segments.
 LONG = 48
+#: What parts words, as Python's ``split`` has it.
+SPACES = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Least token sort ratio of a fuzzy match, and the scores of each way to match.
 FUZZY, SCORE = 88.0, {"exact": 1.0, "alias": 0.95, "fuzzy": 0.87}
 
@@ -71,58 +74,94 @@ def _segment_keys(y: str, least: float) -> list[int]:
 def _probe_keys(x: str, least: float) -> set[int]:
     """Of a name: every place where a segment of a known name can stand.
 
-    With d edits in all and lengths that differ by e, a segment that stays whole is
-    moved by m places only if |m| + |e - m| is at most d.
+    If the edits are at most as many as the segments less one, there is a segment
+    ``i`` (from 0) that stays whole with exactly ``i`` edits before it: the first up
+    to whose end there are no more than ``i``.  Every edit moves what follows by one
+    place, so it is moved by m of the parity of i with |m| at most i, and what is
+    left of the edits must make up for the rest of the difference in length.
     """
     p, keys = len(x), set()
     for n in range(1, LONG + 1):
         d, e = int((1 - least / 100) * (p + n) + 1e-9), p - n
         if abs(e) > d:
             continue
-        for at, size in segments_of(n, min(n, _most_edits(n, least) + 1)):
-            for m in range(-((d - e) // 2), (d + e) // 2 + 1):
-                if 0 <= at + m <= p - size:
+        for i, (at, size) in enumerate(segments_of(n, min(n, _most_edits(n, least) + 1))[: d + 1]):
+            for m in range(-i, i + 1, 2):
+                if abs(e - m) <= d - i and 0 <= at + m <= p - size:
                     keys.add(xxhash.xxh3_64_intdigest(f"{n}:{at}:{x[at + m : at + m + size]}"))
     return keys
 
 
+def letter_marks(t: str) -> tuple[int, int]:
+    """128 bits: a place for each of the first four of every letter a to z, 24 places for all else.
+
+    Two texts differ in no more places than letters must be put in and taken out.
+    """
+    bits, seen = 0, {}
+    for c in t:
+        k = seen[c] = seen.get(c, -1) + 1
+        o = ord(c) - 97
+        if 0 <= o < 26:
+            bits |= 1 << (4 * o + k if k < 4 else 104 + (o + k) % 24)
+        else:
+            bits |= 1 << (104 + (ord(c) + 7 * k) % 24)
+    return (bits & (1 << 64) - 1) - (1 << 63), (bits >> 64) - (1 << 63)
+
+
 def _keyed(df: DataFrame, column: str, keys: Callable[[str, float], Iterable[int]], least: float) -> DataFrame:
+    """(column, u, v, key): the letter marks and every key of a text."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            marks = [letter_marks(t) for t in b[column]]
+            b["u"], b["v"] = np.array([m[0] for m in marks], dtype=np.int64), np.array([m[1] for m in marks], dtype=np.int64)
             b["keys"] = [np.array(sorted(keys(t, least)), dtype=np.uint64).view(np.int64) for t in b[column]]
             yield b
 
-    return df.select(column).mapInPandas(run, f"{column} string, keys array<long>").select(column, F.explode("keys").alias("key"))
+    return df.select(column).mapInPandas(run, f"{column} string, u long, v long, keys array<long>").select(column, "u", "v", F.explode("keys").alias("key"))
 
 
 def fuzzy_match(names: DataFrame, known: DataFrame, least: float = FUZZY) -> DataFrame:
     """(name, id, ratio): best known name of each name at ``least`` (88 or more).
 
-    Lower case is compared, words sorted; ties go to the smaller id.  Candidates
-    meet by equi-join on segments: a known name is cut into one segment more than
-    the edits that the ratio allows, so one of them stands whole in the other name,
-    near its place.  Known names of more than ``LONG`` letters, whose segments would
-    be too many, meet on letter groups and must share as many as the edits can
-    leave.  Only candidates are compared letter by letter; no pair at ``least`` is
-    lost, and there is no cross join.
+    Lower case is compared, words sorted; ties go to the smaller id.  A name whose
+    words are those of a known name is 100 alike, which no other name reaches, and
+    is compared with no other.  For the rest candidates meet by equi-join on
+    segments: a known name is cut into one segment more than the edits that the
+    ratio allows, so one of them stands whole in the other name, near its place.
+    Known names of more than ``LONG`` letters, whose segments would be too many,
+    meet on letter groups and must share as many as the edits can leave.  Pairs
+    whose letters alone differ by more edits go right after the join, and only the
+    others are compared letter by letter; no pair at ``least`` is lost, and there is
+    no cross join.  Keys and letter groups are many times the names, which the
+    engine's estimates do not know, so they are kept from being broadcast.
     """
-    tidy = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.lower(c), r"\s+"), lambda t: t != "")), " ")
+    tidy = lambda c: F.array_join(F.array_sort(F.filter(F.split(F.lower(c), SPACES), lambda t: t != "")), " ")
     a = names.select("name").filter("name is not null").distinct().withColumn("x", tidy(F.col("name"))).filter("x <> ''")
     b = known.select("id", F.col("name").alias("known")).filter("known is not null").withColumn("y", tidy(F.col("known"))).filter("y <> ''")
+    b = stage(b.groupBy("y").agg(F.min("id").alias("id")), "known")
     tasks = max(2, names.sparkSession.sparkContext.defaultParallelism)
-    x, y = a.select("x").distinct().repartition(tasks, "x"), b.select("y").distinct()
+    same = b.select(F.col("y").alias("x"), "id")
+    asked = a.select("x").distinct().join(same.hint("merge"), "x", "left")
+    asked = stage(asked, "asked")
+    x, y = asked.filter("id is null").select("x").repartition(tasks, "x"), b.select("y").repartition(tasks, "y")
     p, q = F.length("x"), F.length("y")
     reach = LONG * (2 - least / 100) / (least / 100)
-    short = _keyed(y.filter(q <= LONG), "y", _segment_keys, least).join(_keyed(x.filter(p <= reach), "x", _probe_keys, least), "key").select("x", "y").distinct()
-    long = x.filter(p > LONG * (least / 100) / (2 - least / 100) - 1).select("x", F.size(_grams(F.col("x"))).alias("three"), F.explode(_grams(F.col("x"))).alias("g"))
-    met = long.join(y.filter(q > LONG).select("y", F.explode(_grams(F.col("y"))).alias("g")), "g")
-    # edits that the ratio allows, and the groups of x that must survive them
+    # edits that the ratio allows
     edits = F.floor((1 - least / 100) * (p + q) + 1e-9)
+    apart = F.bit_count(F.col("u").bitwiseXOR(F.col("s"))) + F.bit_count(F.col("v").bitwiseXOR(F.col("t")))
+    left = _keyed(x.filter(p <= reach), "x", _probe_keys, least)
+    right = _keyed(y.filter(q <= LONG), "y", _segment_keys, least).withColumnsRenamed({"u": "s", "v": "t"})
+    short = left.join(right.hint("merge"), "key").filter(apart <= edits).select("x", "y").distinct()
+    long = x.filter(p > LONG * (least / 100) / (2 - least / 100) - 1).select("x", F.size(_grams(F.col("x"))).alias("three"), F.explode(_grams(F.col("x"))).alias("g"))
+    met = long.join(y.filter(q > LONG).select("y", F.explode(_grams(F.col("y"))).alias("g")).hint("merge"), "g")
+    # the groups of x that must survive the edits
     shared = met.filter(F.abs(p - q) <= edits).groupBy("x", "y", "three").agg(F.count("*").alias("n"))
     may = short.unionByName(shared.filter(F.col("n") >= F.col("three") - 3 * edits).select("x", "y"))
     scored = may.withColumn("ratio", sort_ratio("x", "y")).filter(F.col("ratio") >= least)
-    best = a.join(scored, "x").join(b, "y").groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "id")).alias("m"))
-    return best.select("name", F.col("m.id").alias("id"), (-F.col("m.r")).alias("ratio"))
+    near = scored.join(b.hint("merge"), "y").groupBy("x").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "id")).alias("m"))
+    equal = asked.filter("id is not null").select("x", F.struct(F.lit(-100.0).alias("r"), "id").alias("m"))
+    return a.join(near.unionByName(equal).hint("merge"), "x").select("name", F.col("m.id").alias("id"), (-F.col("m.r")).alias("ratio"))
 
 
 def token_subset_match(names: DataFrame, known: DataFrame) -> DataFrame:

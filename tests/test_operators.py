@@ -264,3 +264,29 @@ def test_sweep_follows_the_cascade(spark):
 def test_config_from_env(monkeypatch):
     monkeypatch.setenv("PROPAGATION_MAX_DEPTH", "7")
     assert RetrievalConfig.from_env().propagation_max_depth == 7 and RetrievalConfig().propagation_max_depth == 4
+
+
+def test_fuzzy_meets_few_candidates(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("bdfgkst") + rnd.choice("aeiou") for _ in range(rnd.randrange(2, 5)))
+    known = [f"{word()} {word()} brotherhood" for _ in range(60)] + [f"{word()} {word()}" for _ in range(60)]
+    typed = list(known[:5])
+    for k in known:
+        for _ in range(3):
+            t = list(k)
+            for _ in range(rnd.randrange(1, 4)):
+                t.insert(rnd.randrange(len(t) + 1), rnd.choice("aeb ")) if rnd.random() < 0.5 else t.pop(rnd.randrange(len(t)))
+            typed.append("".join(t))
+    assert len(linking._probe_keys("disciples humichas sevutes", 88.0)) <= 150
+    for t in typed[:100]:
+        for k in known:
+            if linking.token_sort_ratio(t, k) >= 88:
+                a, b = (linking.letter_marks(" ".join(sorted(s.split()))) for s in (t, k))
+                assert (a[0] ^ b[0]).bit_count() + (a[1] ^ b[1]).bit_count() <= 0.12 * (len(t) + len(k)) or a == b
+    kn = spark.createDataFrame([(f"i{i:03}", k) for i, k in enumerate(known)], "id string, name string")
+    found = linking.fuzzy_match(spark.createDataFrame([(t,) for t in typed], "name string"), kn)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.name: (r.id, round(r.ratio, 6)) for r in found.collect()}
+    for t in set(typed):
+        best = min((-linking.token_sort_ratio(t, k), f"i{i:03}") for i, k in enumerate(known))
+        assert got.get(t) == ((best[1], round(-best[0], 6)) if -best[0] >= 88 else None), t
