@@ -266,6 +266,15 @@ def test_config_from_env(monkeypatch):
     assert RetrievalConfig.from_env().propagation_max_depth == 7 and RetrievalConfig().propagation_max_depth == 4
 
 
+def test_search_names_by_any_part_without_broadcast(spark):
+    names = ["Ann Lee", "Ox House", "House of Roxanne-Lee", "x", "Brotherhoodlum of Lee", "Brotherhood"]
+    ents = spark.createDataFrame([(f"i{i}", n, i == 3) for i, n in enumerate(names)], "id string, name string, is_stub boolean")
+    q = spark.createDataFrame([(1, "X."), (2, "e. nn le"), (3, "LEE lee brotherhoodl"), (4, "ox-a"), (5, "house of ox lee zed"), (6, "X.")], "query_id int, text string")
+    found = graph.search_entities(q, ents, 2)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, "query_id", "entity_id", "rank") == [(1, "i1", 1), (1, "i2", 2), (2, "i0", 1), (2, "i2", 2), (3, "i4", 1), (4, "i2", 1), (6, "i1", 1), (6, "i2", 2)]
+
+
 def test_fuzzy_meets_few_candidates(spark):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("bdfgkst") + rnd.choice("aeiou") for _ in range(rnd.randrange(2, 5)))
