@@ -299,3 +299,14 @@ def test_fuzzy_meets_few_candidates(spark):
     for t in set(typed):
         best = min((-linking.token_sort_ratio(t, k), f"i{i:03}") for i, k in enumerate(known))
         assert got.get(t) == ((best[1], round(-best[0], 6)) if -best[0] >= 88 else None), t
+
+
+def test_reach_counts_of_a_hub(spark):
+    pairs = {(f"S{i}", "Hub") for i in range(6)} | {("Hub", f"t{i}") for i in range(9)} | {("S1", "S2"), ("S1", "t3"), ("t3", "S1"), ("hub", "Hub"), ("S5", "s5"), ("S4", "z")}
+    arcs = spark.createDataFrame([(a, b, "R") for a, b in sorted(pairs)] * 2, "source string, target string, relation string")
+    want = []
+    for s in {a.lower() for a, _ in pairs}:
+        one = {b.lower() for a, b in pairs if a.lower() == s} - {s}
+        two = {b.lower() for a, b in pairs if a.lower() in one} - one - {s}
+        want.append((s, 1 + len(one) + len(two), 2 if two else 1 if one else 0, sum(a.lower() in {s} | one | two for a, _ in pairs)))
+    assert rows(traversal.reach_counts(arcs), "name", "n_nodes", "max_hop", "n_arcs") == sorted(want, key=repr)
