@@ -195,10 +195,12 @@ def resolve_names(names: DataFrame, ents: DataFrame, vectors: DataFrame | None =
     def way(df: DataFrame, how: str, order: int) -> DataFrame:
         return df.select("name", F.struct(F.lit(order).alias("o"), F.col("id").alias("id"), F.lit(how).alias("how"), F.lit(SCORE[how]).alias("score")).alias("m"))
 
-    ways = [
-        way(graph.by_name(plain, ents).withColumnRenamed("entity_id", "id"), "exact", 0), way(graph.by_alias(plain, ents).withColumnRenamed("entity_id", "id"), "alias", 1),
-        way(fuzzy_match(plain, known), "fuzzy", 2), way(token_subset_match(plain, known), "fuzzy", 3),
-    ]
+    ways = [way(graph.by_name(plain, ents).withColumnRenamed("entity_id", "id"), "exact", 0), way(graph.by_alias(plain, ents).withColumnRenamed("entity_id", "id"), "alias", 1)]
+    # a later way decides nothing where an earlier one finds an entity
+    sure = stage(ways[0].unionByName(ways[1]), "sure")
+    left = stage(plain.join(sure.hint("merge"), "name", "left_anti"), "left")
+    ways = [sure, fuzzy := stage(way(fuzzy_match(left, known), "fuzzy", 2), "fuzzy")]
+    ways.append(way(token_subset_match(left.join(fuzzy.hint("merge"), "name", "left_anti"), known), "fuzzy", 3))
     if vectors is not None and facts is not None:
         near = vector.top_k(vectors.select(F.col("name").alias("query_id"), "vec"), facts.select("id", "vec"), 3).join(facts.select("id", "entity_id"), "id")
         top = near.groupBy(F.col("query_id").alias("name")).agg(F.max_by(F.struct("entity_id", "score"), "score").alias("t"))
@@ -207,7 +209,7 @@ def resolve_names(names: DataFrame, ents: DataFrame, vectors: DataFrame | None =
     every = ways[0]
     for x in ways[1:]:
         every = every.unionByName(x)
-    best = every.groupBy("name").agg(F.min("m").alias("m"))
+    best = every.groupBy("name").agg(F.min("m").alias("m")).hint("merge")
     how = F.coalesce("m.how", F.lit("new"))
     return n.join(best, "name", "left").select("input_name", F.col("m.id").alias("node_id"), how.alias("matched_by"), F.coalesce("m.score", F.lit(0.0)).alias("confidence"), (how == "ambiguous").alias("is_ambiguous"))
 

@@ -310,3 +310,15 @@ def test_reach_counts_of_a_hub(spark):
         two = {b.lower() for a, b in pairs if a.lower() in one} - one - {s}
         want.append((s, 1 + len(one) + len(two), 2 if two else 1 if one else 0, sum(a.lower() in {s} | one | two for a, _ in pairs)))
     assert rows(traversal.reach_counts(arcs), "name", "n_nodes", "max_hop", "n_arcs") == sorted(want, key=repr)
+
+
+def test_later_ways_see_only_names_still_open(spark, monkeypatch):
+    asked = {}
+    for f in ("fuzzy_match", "token_subset_match"):
+        own = getattr(linking, f)
+        monkeypatch.setattr(linking, f, lambda n, k, f=f, own=own: asked.update({f: sorted(r.name for r in n.collect())}) or own(n, k))
+    ents = spark.createDataFrame([("a", "Ann Lee", False, ["Annie"]), ("b", "Bobby Rays", False, []), ("d", "Carl Gustav Moe", False, [])], "id string, name string, is_stub boolean, aliases array<string>")
+    n = spark.createDataFrame([("Ann Lee",), ("Annie",), ("Rays Boby",), ("Gustav",)], "name string")
+    got = {r.input_name: (r.node_id, r.matched_by) for r in linking.resolve_names(n, ents).collect()}
+    assert got == {"Ann Lee": ("a", "exact"), "Annie": ("a", "alias"), "Rays Boby": ("b", "fuzzy"), "Gustav": ("d", "fuzzy")}
+    assert asked == {"fuzzy_match": ["Gustav", "Rays Boby"], "token_subset_match": ["Gustav"]}
