@@ -171,3 +171,48 @@ def test_two_hops_of_all_kinds_against_pairs(spark):
     ids = df.select(F.col("src").alias("id")).union(df.select("dst")).distinct()
     want = rows(graph.hops(ids, df).groupBy("id").agg(F.count("*").alias("n")), "id", "n")
     assert rows(graph.hop_counts(df), "id", "n") == want and dict(want)["p"] >= 2
+
+
+def test_methods_look_up_equal_vectors_once(monkeypatch, spark):
+    """One run per vector for what reads no text, and what stands for a context is made there."""
+    asked = []
+    monkeypatch.setitem(methods.METHODS, "graph_rag", lambda q, s, k: asked.append(q.count()) or q.select("query_id", F.col("vec")[0].cast("string").alias("context")))
+    q = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.0]), (3, "c", [0.0, 1.0])], "query_id int, text string, vec array<double>")
+    got = methods.run_methods(q, stores(spark), only=["graph_rag"], show=lambda c: [F.length(c).alias("n"), c.alias("text")])
+    assert sorted(rows(got, "query_id", "n", "text")) == [(1, 3, "1.0"), (2, 3, "1.0"), (3, 3, "0.0")] and asked == [2]
+
+
+def test_methods_share_lookups(monkeypatch, spark):
+    """Facts, graph and records are looked up once for all methods, with the rows of each method alone."""
+    from skein.operators import grep, vector
+
+    q = spark.createDataFrame([(1, "n1", [1.0, 0.0]), (2, "stone", [0.3, 0.7]), (3, "n1", [1.0, 0.0])], "query_id int, text string, vec array<double>")
+    names = ["dense", "graph_prop", "filestore", "cascade"]
+    alone = {(n, *r) for n in names for r in rows(q.select("query_id").join(methods.METHODS[n](q, stores(spark), 5), "query_id", "left").fillna(""), "query_id", "context")}
+    calls = []
+    facts, records = vector.search_facts, grep.grep_context
+    monkeypatch.setattr(vector, "search_facts", lambda *a, **k: calls.append("facts") or facts(*a, **k))
+    monkeypatch.setattr(grep, "grep_context", lambda *a, **k: calls.append("records") or records(*a, **k))
+    got = methods.run_methods(q, stores(spark), only=names)
+    assert set(rows(got, "method_name", "query_id", "context")) == alone and sorted(calls) == ["facts", "records"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0  # each method is written before the next
+
+
+def test_graph_contexts_equal_lines_of_all_arcs(spark):
+    from skein.operators import entity_graph
+
+    arcs = [("Ann", "Bob", "R"), ("ANN", "Cid", "R"), ("Ann", "Bob", "A"), ("Ann (x)", "Ann", "R"), ("Ann --[M", "Bob", "R"), ("Ann", "Ann --[M", "S"), ("Bob", "Ann (x)", "R"), ("Bob", "Dan", None), ("Far", "Ann", "R")]
+    arcs = spark.createDataFrame(arcs * 2, "source string, target string, relation string")
+    seeds = spark.createDataFrame([("ann", [1.0, 0.0]), ("far", [0.0, 1.0])], "id string, vec array<double>")
+    nodes = spark.createDataFrame([("Ann", "p", None), ("ann", "q", "last"), ("Bob", "p", "x"), ("Far", "p", "f")], "name string, node_type string, description string")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [-1.0, 0.0])], "query_id int, vec array<double>")
+    want = rows(entity_graph.format_graph(*entity_graph.search(q, seeds, nodes, arcs, 1)), "query_id", "context")
+    assert rows(entity_graph.contexts(q, seeds, nodes, arcs, 1), "query_id", "context") == want and len(want) == 2
+
+
+def test_grep_finds_keywords_within_runs_of_letters(spark):
+    from skein.operators import grep
+
+    r = spark.createDataFrame([(1, "A KEYstones row\nand more"), (2, "key stones"), (3, None), (4, "xkeystonex7more"), (5, "MORE")], "stem int, content string")
+    q = spark.createDataFrame([(1, "keystone"), (2, "more keystone"), (3, "more absent"), (4, "abc"), (5, None), (6, "MORE more")], "query_id int, text string")
+    assert sorted(rows(grep.grep(q, r), "query_id", "stem")) == [(1, 1), (1, 4), (2, 1), (2, 4), (6, 1), (6, 4), (6, 5)]
